@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packlake.llm import bpe, packing, splitting
+from packlake.llm import bpe, generated, packing, splitting
 from packlake.llm.common import spread, table
 
 
@@ -17,6 +17,19 @@ def p3_found(spark, sf_dir):
     return p3_pieces(spark, sf_dir).where("piece_no = 1 AND n_pieces > 1").select("result_id")
 
 
+def _origins(spark, sf_dir):
+    files = spread(table(spark, sf_dir, "files").select("file_id", "repo", "rel_path", "content"))
+    return generated.classify(files, table(spark, sf_dir, "vendor_index"))
+
+
+def p5_found(spark, sf_dir):
+    return _origins(spark, sf_dir).where("origin <> 'written'").select("file_id")
+
+
+def p5_origin_rates(spark, sf_dir):
+    return generated.origin_rates(_origins(spark, sf_dir))
+
+
 def p6_ids(spark, sf_dir):
     return bpe.encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -35,7 +48,7 @@ def p7_fill(spark, sf_dir):
     return packing.container_fill(p7_containers(spark, sf_dir), _capacity(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_origin_rates": p5_origin_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
 ORACLES = {
     "p3_found": """
 WITH l AS (SELECT lower(trim(kind)) AS k, max_size FROM size_limits WHERE lower(trim(use_case)) = 'split')
