@@ -4,10 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packlake.llm import bpe, generated, packing, splitting
+from packlake.llm import bpe, generated, packing, secrets, splitting
 from packlake.llm.common import spread, table
 
 
+def _texts(spark, sf_dir):
+    files = spread(table(spark, sf_dir, "files").select("file_id", "repo", "rel_path", "content"))
+    selected = spread(table(spark, sf_dir, "selected").select("result_id", "task_id", "file_id", "repo", "rel_path", "content"))
+    return files, selected
+
+
+def p2_found(spark, sf_dir):
+    files, selected = _texts(spark, sf_dir)
+    lines = secrets.secret_lines(files, "file_id", "files").unionByName(secrets.secret_lines(selected, "result_id", "selected"))
+    return lines.select("table_name", "row_id", "line_no")
+
+
+def p2_redacted(spark, sf_dir):
+    """Every text with its credentials replaced."""
+    files, selected = _texts(spark, sf_dir)
+    a = secrets.redacted(files.withColumn("table_name", F.lit("files")).withColumnRenamed("file_id", "row_id"), "table_name", "row_id")
+    b = secrets.redacted(selected.withColumn("table_name", F.lit("selected")).withColumnRenamed("result_id", "row_id"), "table_name", "row_id")
+    return a.unionByName(b)
+
+
+def p2_warnings(spark, sf_dir):
+    """Warnings of the selected results, in the form of the table secret_warnings."""
+    _, selected = _texts(spark, sf_dir)
+    return secrets.warnings_of(selected)
+
+
 def p3_pieces(spark, sf_dir):
     return splitting.split_oversized(table(spark, sf_dir, "selected"), table(spark, sf_dir, "size_limits"), table(spark, sf_dir, "symbols"))
 
@@ -48,7 +74,7 @@ def p7_fill(spark, sf_dir):
     return packing.container_fill(p7_containers(spark, sf_dir), _capacity(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_origin_rates": p5_origin_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p2_warnings": p2_warnings, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_origin_rates": p5_origin_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
 ORACLES = {
     "p3_found": """
 WITH l AS (SELECT lower(trim(kind)) AS k, max_size FROM size_limits WHERE lower(trim(use_case)) = 'split')

@@ -425,3 +425,9 @@ def redacted(rows: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns of ``rows`` with the redacted content and the number of credentials replaced."""
     done = rows.select(*keep, scan(F.col("content"), F.col("rel_path")).alias("done"))
     return done.select(*keep, F.col("done.redacted").alias("content"), F.size("done.warnings").alias("n_secrets"))
+
+
+def warnings_of(selected: DataFrame) -> DataFrame:
+    """(task_id, file_id, repo, rel_path, line, pattern, snippet) of selected results; repeated rows of a result give one."""
+    done = selected.select("task_id", "file_id", "repo", "rel_path", F.explode(scan(F.col("content"), F.col("rel_path"), keep_text=False)["warnings"]).alias("w"))
+    return done.select("task_id", "file_id", "repo", "rel_path", "w.line", "w.pattern", "w.snippet").distinct()
