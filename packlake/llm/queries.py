@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packlake.llm import bpe, generated, packing, secrets, splitting
+from packlake.llm import bpe, generated, packing, parsing, secrets, splitting
 from packlake.llm.common import spread, table
 
 
+def _parsed(spark, sf_dir):
+    files = table(spark, sf_dir, "files").select("file_id", "repo", "rel_path", "content")
+    return parsing.parse_files(spread(files))
+
+
+def p1_found(spark, sf_dir):
+    return _parsed(spark, sf_dir).where(~F.col("valid")).select("file_id").distinct()
+
+
+def p1_error_rates(spark, sf_dir):
+    return parsing.error_rates(_parsed(spark, sf_dir))
+
+
+def p1_file_symbols(spark, sf_dir):
+    return parsing.repaired_headers(table(spark, sf_dir, "file_symbols"), _parsed(spark, sf_dir))
+
+
 def _texts(spark, sf_dir):
     files = spread(table(spark, sf_dir, "files").select("file_id", "repo", "rel_path", "content"))
     selected = spread(table(spark, sf_dir, "selected").select("result_id", "task_id", "file_id", "repo", "rel_path", "content"))
@@ -74,7 +91,7 @@ def p7_fill(spark, sf_dir):
     return packing.container_fill(p7_containers(spark, sf_dir), _capacity(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p2_warnings": p2_warnings, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_origin_rates": p5_origin_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES = {"p1_found": p1_found, "p1_error_rates": p1_error_rates, "p1_file_symbols": p1_file_symbols, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_warnings": p2_warnings, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_origin_rates": p5_origin_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
 ORACLES = {
     "p3_found": """
 WITH l AS (SELECT lower(trim(kind)) AS k, max_size FROM size_limits WHERE lower(trim(use_case)) = 'split')
