@@ -231,9 +231,11 @@ def host_priors(documents: DataFrame) -> DataFrame:
     counts = [F.sum((F.col("label") == name).cast("int")).cast("double").alias(name) for name in LANGUAGES]
     rates = lambda row, parent: [f"({row}.{x} + {PARENT_ROWS} * {parent}.{x}) / ({row}.total + {PARENT_ROWS}) AS {x}" for x in LANGUAGES]
     summed = " + ".join(LANGUAGES)
-    every = held.agg(*counts).selectExpr(*[f"(coalesce({x}, 0) + 1) / (coalesce({summed}, 0) + {len(LANGUAGES)}) AS {x}" for x in LANGUAGES])  # one row
-    source = held.groupBy("source").agg(*counts).selectExpr("*", f"{summed} AS total").alias("s")
-    source = source.join(F.broadcast(every).alias("e"), how="cross").selectExpr("s.source", *rates("s", "e"))
+    every = held.agg(*counts).first()  # one row of counts
+    total = sum(x or 0.0 for x in every)
+    share = {x: ((every[x] or 0.0) + 1) / (total + len(LANGUAGES)) for x in LANGUAGES}
+    source = held.groupBy("source").agg(*counts).selectExpr("*", f"{summed} AS total")
+    source = source.select("source", *[((F.col(x) + PARENT_ROWS * share[x]) / (F.col("total") + PARENT_ROWS)).alias(x) for x in LANGUAGES])
     kind = held.groupBy("source", "doc_kind").agg(*counts).selectExpr("*", f"{summed} AS total").alias("k")
     joined = kind.join(source.alias("p"), F.col("k.source").eqNullSafe(F.col("p.source"))).selectExpr("k.source", "k.doc_kind", *rates("k", "p"))
     return joined.select("source", "doc_kind", F.array(*[F.log(F.col(x)) for x in LANGUAGES]).alias("host_prior"))

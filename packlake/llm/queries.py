@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packlake.llm import bpe, generated, packing, parsing, secrets, splitting
+from packlake.llm import bpe, generated, languages, packing, parsing, secrets, splitting
 from packlake.llm.common import spread, table
 
 
@@ -91,7 +91,25 @@ def p7_fill(spark, sf_dir):
     return packing.container_fill(p7_containers(spark, sf_dir), _capacity(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_error_rates": p1_error_rates, "p1_file_symbols": p1_file_symbols, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_warnings": p2_warnings, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_origin_rates": p5_origin_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+def _labelled(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "doc_kind", "rel_path")
+    documents = spread(documents)
+    return languages.label_documents(documents, languages.fit(documents))
+
+
+def p8_found(spark, sf_dir):
+    return languages.unnamed_languages(_labelled(spark, sf_dir))
+
+
+def p8_documents(spark, sf_dir):
+    return languages.document_languages(_labelled(spark, sf_dir))
+
+
+def p8_segments(spark, sf_dir):
+    return languages.segments_of(_labelled(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_error_rates": p1_error_rates, "p1_file_symbols": p1_file_symbols, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_warnings": p2_warnings, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_origin_rates": p5_origin_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 ORACLES = {
     "p3_found": """
 WITH l AS (SELECT lower(trim(kind)) AS k, max_size FROM size_limits WHERE lower(trim(use_case)) = 'split')

@@ -129,9 +129,9 @@ def limits_for(limits: DataFrame, use_case: str) -> DataFrame:
 def with_limit(items: DataFrame, limits: DataFrame) -> DataFrame:
     """``items`` with the limit of their kind; unlisted and null kinds take the row 'other'."""
     own = limits_for(limits, "split")
-    other = own.where("kind_key = 'other'").select(F.max("max_size").alias("other_max"), F.max("overlap_size").alias("other_overlap"))
-    keyed = items.withColumn("kind_key", F.lower(F.trim(F.regexp_replace("kind", r"^\s+|\s+$", ""))))
-    joined = keyed.join(own, "kind_key", "left").join(F.broadcast(other), how="cross")  # one row
+    other = own.where("kind_key = 'other'").groupBy(F.col("kind_key").alias("other_key")).agg(F.max("max_size").alias("other_max"), F.max("overlap_size").alias("other_overlap"))
+    keyed = items.withColumn("kind_key", F.lower(F.trim(F.regexp_replace("kind", r"^\s+|\s+$", "")))).withColumn("other_key", F.lit("other"))
+    joined = keyed.join(own, "kind_key", "left").join(other, "other_key", "left")
     return joined.select(
         "result_id",
         "file_id",
