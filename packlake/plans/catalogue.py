@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from packlake.plans import snapshots
+from packlake.plans import rank_queries, scan_queries, snapshots
 
-QUERIES = {**snapshots.QUERIES}
-ORACLES = {**snapshots.ORACLES}
-
-
-def flagship(spark, sf_dir):
-    return snapshots.p4_change_counts(spark, sf_dir)
+_MODULES = (snapshots, scan_queries, rank_queries)
+QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}
+flagship = rank_queries.budget_select
