@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packlake.plans import rank_queries, scan_queries, snapshots
+from packlake.plans import graph_queries, rank_queries, scan_queries, snapshots
 
-_MODULES = (snapshots, scan_queries, rank_queries)
+_MODULES = (snapshots, scan_queries, rank_queries, graph_queries)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}
 flagship = rank_queries.budget_select
