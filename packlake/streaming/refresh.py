@@ -50,5 +50,6 @@ def current_summaries(store: DataFrame) -> DataFrame:
 
 def windowed_churn(events: DataFrame, path: str = "path", ts: str = "ts", window: str = "1 day", late: str = "2 hours") -> DataFrame:
     """(window_start, path, commits) of a stream or table of touches; touches later than ``late`` behind the newest are dropped by a stream's watermark."""
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))  # a watermark needs an instant
     counted = events.withWatermark(ts, late) if events.isStreaming else events
     return counted.groupBy(F.window(ts, window).alias("w"), F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("commits")).select(F.col("w.start").alias("window_start"), "path", "commits")
