@@ -39,8 +39,10 @@ class LevelArray:
     def place(self, size: int) -> int:
         """Number of the container that takes an item of 1 to ``capacity``."""
         top = self.capacity - size
-        # moving a container from level h to h + size changes the sum of squares by 2 (N[h+size] - N[h] + 1); empty and full levels count as 0
-        cost = self.count[size:] - self.count[: top + 1]
+        # taking a container from level h changes the sum of squares by 1 - 2 N[h], bringing one to h + size by 2 N[h + size] + 1; empty and full containers count nothing
+        cost = 2 * (self.count[size:] - self.count[: top + 1]) + 2
+        cost[0] -= 1
+        cost[top] -= 1
         allowed = self.count[: top + 1] > 0
         allowed[0] = True
         # ties go to the fullest level: less is opened
