@@ -33,17 +33,60 @@ def _java(pattern: str) -> str:
     return pattern.replace("(?m)", "(?dm)")
 
 
+# Words without which a pattern cannot match; searching for them is far cheaper than the pattern. Lower-case ones are searched in the lower-cased text.
+HINTS = {
+    "pem_key": ("-----BEGIN",),
+    "anthropic_key": ("sk-ant-",),
+    "openai_key": ("sk-",),
+    "aws_key_id": ("AKIA",),
+    "aws_secret": ("aws_secret_access_key",),
+    "github_token": ("ghp_", "gho_", "ghu_", "ghs_"),
+    "github_fine_grained": ("github_pat_",),
+    "jwt": ("eyJ",),
+    "slack_token": ("xoxb-", "xoxp-", "xoxa-"),
+    "stripe_secret": ("k_live_",),
+    "db_url_with_password": ("://",),
+    "bearer_token": ("authorization:",),
+    "env_secret_assignment": ("PASSWORD", "SECRET", "TOKEN", "API_KEY", "PRIVATE_KEY"),
+}
+_ANY_CASE = ("aws_secret", "bearer_token")
+
+
+def _hinted(name: str, text: Column) -> Column:
+    if name not in HINTS:
+        return F.lit(True)
+    where = F.lower(text) if name in _ANY_CASE else text
+    found = F.lit(False)
+    for hint in HINTS[name]:
+        found = found | F.contains(where, F.lit(hint))
+    return found
+
+
+def _folded(text: Column) -> Column:
+    """A struct of the redacted text ``t`` and the matches ``n`` of each pattern; every step names the text before it once, so the expression stays linear."""
+    state = F.array(F.struct(text.alias("t"), F.array().cast("array<bigint>").alias("n")))
+    for name, pattern, placeholder in PATTERNS:
+        state = F.transform(state, lambda s: _step(s, name, _java(pattern), placeholder))
+    return state[0]
+
+
+def _step(s: Column, name: str, pattern: str, placeholder: str) -> Column:
+    on = _hinted(name, s["t"])
+    return F.struct(
+        F.when(on, F.regexp_replace(s["t"], pattern, placeholder)).otherwise(s["t"]).alias("t"),
+        F.concat(s["n"], F.array(F.when(on, F.regexp_count(s["t"], F.lit(pattern)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))).alias("n"),
+    )
+
+
 def redact(text: Column) -> Column:
     """The text with placeholders for its credentials."""
-    for _, pattern, placeholder in PATTERNS:
-        text = F.regexp_replace(text, _java(pattern), placeholder)
-    return text
+    state = F.array(text)
+    for name, pattern, placeholder in PATTERNS:
+        state = F.transform(state, lambda t: F.when(_hinted(name, t), F.regexp_replace(t, _java(pattern), placeholder)).otherwise(t))
+    return state[0]
 
 
 def redaction_counts(text: Column) -> Column:
     """A struct with the number of credentials of each pattern, counted on the text the earlier patterns left."""
-    counts = []
-    for name, pattern, placeholder in PATTERNS:
-        counts.append(F.regexp_count(text, F.lit(_java(pattern))).cast("bigint").alias(name))
-        text = F.regexp_replace(text, _java(pattern), placeholder)
-    return F.struct(*counts)
+    found = F.transform(F.array(_folded(text)["n"]), lambda n: F.struct(*[F.coalesce(n[i], F.lit(0).cast("bigint")).alias(name) for i, (name, _, _) in enumerate(PATTERNS)]))
+    return found[0]

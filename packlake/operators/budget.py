@@ -89,7 +89,8 @@ def select_within(ranking: DataFrame, keys: list[str], budget: Column | int = di
     last, so a few rounds end it. Empty files fit while any token is left.
     """
     least = F.least(*[F.coalesce(F.col(c), F.lit(2**31 - 1)) for c in ("full_tok", "snip_tok", "sum_tok")])
-    rows = ranking.withColumn("_least", least)
+    # rounds read the rows again and again: they are kept once, numbers and paths alone, in the shared folder
+    rows = checkpointed(ranking.withColumn("_least", least))
     state = rows.select(*keys).distinct().withColumn("remaining", (budget if isinstance(budget, Column) else F.lit(budget)).cast("int"))
     state = state.withColumns({"last_score": F.lit(None).cast("double"), "last_path": F.lit(None).cast("string"), "taken": F.lit(0)})
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "rel_path")
@@ -122,7 +123,7 @@ def select_within(ranking: DataFrame, keys: list[str], budget: Column | int = di
         chosen = picks if chosen is None else chosen.unionByName(picks)
         state = done.where(F.col("rel_path").isNull() & F.col("more")).select(*keys, "remaining", "last_score", "last_path", "taken")
         if state.isEmpty():
-            return chosen.join(ranking.select(*keys, "rel_path", "score", *[c for c in ("reasons",) if c in ranking.columns]), [*keys, "rel_path"])
+            return chosen.join(rows.select(*keys, "rel_path", "score", *[c for c in ("reasons",) if c in rows.columns]), [*keys, "rel_path"])
 
 
 def with_texts(selected: DataFrame, summaries: DataFrame, files: DataFrame) -> DataFrame:

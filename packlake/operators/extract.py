@@ -58,7 +58,8 @@ def markdown(content: Column) -> Column:
 
 
 def json_keys(content: Column, path: Column) -> Column:
-    """Top-level keys of an object in order, or the first indexes of a list; a package manifest's description."""
+    """Top-level keys of an object in order, or the first indexes of a list; a package manifest's description. Invalid JSON gives nothing."""
+    content = F.when(F.try_parse_json(content).isNotNull(), content)
     keys = F.slice(F.array_distinct(F.json_object_keys(content)), 1, TOP_KEYS)
     count = F.json_array_length(content)
     indexes = F.transform(F.sequence(F.lit(0), F.least(count, F.lit(5)) - 1), lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("]")))

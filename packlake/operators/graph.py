@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from packlake import dims
 from packlake.functions import paths
+from packlake.session import checkpointed
 
 RAW_CHARS = 120
 PYTHON_IMPORTS = "array<struct<level:int,module:string,name:string,raw:string>>"
@@ -170,7 +171,7 @@ def cyclic_core(edges: DataFrame, rounds: int = 3) -> DataFrame:
     A walk that looks for cycles learns nothing from such files, so what it finds is the same with or without them, and few edges of an
     import graph are left. Each round is one semi-join on the repository and file.
     """
-    left = edges.where("kind = 'local'").select("repo", "source", "target").distinct()
+    left = checkpointed(edges.where("kind = 'local'").select("repo", "source", "target").distinct())  # read twice a round
     for _ in range(rounds):
         going = left.select("repo", F.col("source").alias("target")).distinct()
         left = left.join(going, ["repo", "target"], "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from packlake.dims import WEIGHTS
 from packlake.functions import paths, text
 from packlake.operators.classify import is_priority, is_secret_file
+from packlake.session import checkpointed
 
 
 def _array(name: str) -> Column:
@@ -121,8 +122,13 @@ def ranked(scores: DataFrame, min_score: float = 0.0) -> DataFrame:
 
 
 def rank_files(summaries: DataFrame, edges: DataFrame, keywords: Column, churn: DataFrame | None = None, memory_paths: Column | None = None, min_score: float = 0.0) -> DataFrame:
-    """The whole ranking of each repository for one task."""
-    return ranked(pair_tests(expand_dependencies(scored(summaries, keywords, churn, memory_paths), edges)), min_score)
+    """The whole ranking of each repository for one task.
+
+    A step reads the scores before it several times (best of a repository, leaders, all rows), so they are kept once in between: a few
+    numbers and words a file, instead of token sets made over and over.
+    """
+    scores = checkpointed(scored(summaries, keywords, churn, memory_paths))
+    return ranked(pair_tests(checkpointed(expand_dependencies(scores, edges))), min_score)
 
 
 def top_files(ranking: DataFrame, n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packlake.functions import text
 from packlake.operators import classify
 from packlake.operators.churn import churn
-from packlake.session import table
+from packlake.session import spread, table
 
 #: Patterns of the ignore file that the corpus queries are run with.
 IGNORE_PATTERNS = ("*.map", "fixtures/", "static/*.css", "docs/**/draft_?.md", "*-lock.json", "/rooted.py", "# note", "!kept.py")
@@ -17,12 +17,13 @@ CHURN_DAYS = 90
 
 def scanned(spark, sf_dir) -> DataFrame:
     """Every file of the corpus as the scanner records it, with its reason to be skipped."""
-    return classify.classified(table(spark, sf_dir, "files").select("repo", "rel_path", "content"), list(IGNORE_PATTERNS))
+    return classify.classified(spread(table(spark, sf_dir, "files").select("repo", "rel_path", "content")), list(IGNORE_PATTERNS))
 
 
 def files(spark, sf_dir) -> DataFrame:
     """Files as the engine reads them, without regard to the recorded language and sizes."""
-    return table(spark, sf_dir, "files").select("repo", "rel_path", classify.language(F.col("rel_path")).alias("language"), "content")
+    rows = spread(table(spark, sf_dir, "files").select("repo", "rel_path", "content"))
+    return rows.select("repo", "rel_path", classify.language(F.col("rel_path")).alias("language"), "content")
 
 
 def summaries(spark, sf_dir) -> DataFrame:

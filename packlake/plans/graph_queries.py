@@ -61,9 +61,9 @@ def yaml_top_keys(spark, sf_dir):
 
 
 @query(f"""SELECT repo, rel_path, {_joined("CASE WHEN json_type(j) = 'OBJECT' THEN list_filter(json_keys(j), lambda k, i: list_position(json_keys(j), k) = i)[1:20] WHEN json_type(j) = 'ARRAY' THEN list_transform(range(least(5, json_array_length(j)::BIGINT)), lambda i: '[' || i || ']') ELSE [] END")} AS symbols
-FROM (SELECT repo, rel_path, CASE WHEN json_valid(content) THEN content::JSON END AS j FROM {_of('JSON')}) WHERE j IS NOT NULL""")
+FROM (SELECT repo, rel_path, CASE WHEN json_valid(content) AND NOT regexp_matches(content, ',[ \n\r\t]*[}}\\]]') THEN content::JSON END AS j FROM {_of('JSON')}) WHERE json_type(j) IN ('OBJECT', 'ARRAY')""")
 def json_top_keys(spark, sf_dir):
-    """Keys of the files whose JSON is valid."""
+    """Keys of the files whose JSON is a valid object or list."""
     rows = _read(spark, sf_dir, "JSON").where(F.try_parse_json("content").isNotNull())
     return _flat(rows, extract.json_keys(F.col("content"), F.col("rel_path")), "symbols")
 

@@ -9,7 +9,7 @@ from packlake.functions import paths, text
 from packlake.functions.redaction import PATTERNS, redact, redaction_counts
 from packlake.operators import classify
 from packlake.plans import corpus, sql
-from packlake.session import table
+from packlake.session import spread, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -162,7 +162,7 @@ def file_purposes(spark, sf_dir):
 
 @query(f"SELECT file_id, sha256({sql.redact('content')}) AS redacted_hash FROM files WHERE content IS NOT NULL")
 def redacted_files(spark, sf_dir):
-    return table(spark, sf_dir, "files").where(F.col("content").isNotNull()).select("file_id", F.sha2(redact(F.col("content")), 256).alias("redacted_hash"))
+    return spread(table(spark, sf_dir, "files").where(F.col("content").isNotNull()).select("file_id", "content")).select("file_id", F.sha2(redact(F.col("content")), 256).alias("redacted_hash"))
 
 
 def _counts_sql() -> str:
@@ -178,7 +178,7 @@ def _counts_sql() -> str:
 
 @query(_counts_sql())
 def redaction_totals(spark, sf_dir):
-    counted = table(spark, sf_dir, "files").where(F.col("content").isNotNull()).select(redaction_counts(F.col("content")).alias("c"))
+    counted = spread(table(spark, sf_dir, "files").where(F.col("content").isNotNull()).select("content")).select(redaction_counts(F.col("content")).alias("c"))
     names = [name for name, _, _ in PATTERNS]
     totals = counted.agg(*[F.sum(f"c.{n}").alias(f"{n}_n") for n in names], *[F.sum((F.col(f"c.{n}") > 0).cast("bigint")).alias(f"{n}_f") for n in names])
     rows = F.array(*[F.struct(F.lit(n).alias("pattern"), F.col(f"{n}_n").alias("n_found"), F.col(f"{n}_f").alias("n_files")) for n in names])

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +29,36 @@ def build_session(app: str = "packlake", cores: int | str = "*", **conf: str) ->
     return session
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make sure the Python workers can import this package, wherever the driver was started; once per session."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    known = {Path(p or ".").resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]}
+    if root in known or getattr(context, "_packlake_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="packlake-")  # the driver serves the archive from here as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "packlake.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "packlake").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._packlake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores where the scan alone would leave some idle; large inputs keep their scan splits, so nothing is shuffled there."""
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, 2)
+    if df.rdd.getNumPartitions() >= 2 * wanted:
+        return df
+    return df.repartition(2 * wanted, *keys)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names; a folder of our own only where none is set."""
     context = spark.sparkContext
