@@ -62,7 +62,7 @@ NOT_A_VALUE = re.compile(r"(?i)(public|next|page|csrf|cancel|cancellation|sync|c
 
 _IDENTIFIER = re.compile(r"[\w.\-]")
 _OPEN = re.compile(
-    r"""(?x) (?P<q>\\?["'`])? \]? \)? [ \t]* (?: \?? : [ \t]* [A-Za-z_][\w.\[\]<>| ]{0,40}? = (?!=) | :=  | => | [:=](?![=:]) ) [ \t]*"""
+    r"""(?x) (?P<q>\\?["'`])? \]? \)? [ \t]* (?: \?? : [ \t]* [A-Za-z_][\w.\[\]<>| ]{0,40}? [ \t] = (?=[ \t]*["'`(]) | :=  | => | [:=](?![=:]) ) [ \t]*"""
 )
 _QUOTED = re.compile(r"""(?xs) (?:[rbuf]|Buffer\.from\(|\()?  (?P<q>\\?["'`]) (?P<v>(?:(?!(?P=q))(?:\\.|[^\n\\]))*?) (?P=q) """)
 _NEXT = re.compile(r"""(?xs) [ \t]*(?:\+|\.|\\)?[ \t]*(?:\\?\r?\n[ \t]*(?:\#|//|--)?[ \t]*)?(?:\+|\.)?[ \t]* (?P<q>["'`]) (?P<v>(?:(?!(?P=q))[^\n\\])+) (?P=q) """)
@@ -81,7 +81,7 @@ _BLOCK = re.compile(r"""[ \t]*(?P<b>[|>][+-]?\d?|\(|\\)?[ \t]*\r?\n[ \t]*(?P<q>[
 _NAMED_VALUE = re.compile(r"""["']?[ \t]*(?:,|\r?\n)[ \t-]*["']?value["']?[ \t]*[:=][ \t]*(?P<q>["']?)(?P<v>[^\s"']{6,})(?P=q)""")
 _XML = re.compile(r"""[^<>]{0,40}>(?P<v>[^<>\s]{6,})</""")
 _RUN64 = re.compile(r"[A-Za-z0-9+/]+={0,2}")
-_SPACED = re.compile(r"[ \t]+(?P<v>[A-Za-z0-9+/=._!*%$#@&^~?-]{12,})(?=\s|$)")
+_SPACED = re.compile(r"[ \t]+(?P<v>[A-Za-z0-9+/=._!*%$#@&^~?-]{8,})(?=\s|$)")
 _WORDY = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*")
 _PLAIN_FILES = re.compile(r"(?i)(\.(ya?ml|env|ini|cfg|conf|properties|toml|sh|bash|local|example|sample|md|txt|rst|netrc|npmrc)|(^|/)\.env[^/]*|(^|/)\.\w+rc)$")
 _COMMENT_LINE = re.compile(r"^\s*(#|//|--|/\*|\*|<!--|;)")
@@ -154,13 +154,17 @@ def is_value(value: str, weak: int = 6) -> bool:
     return has_digit or special or (mixed and len(value) >= 8) or any(grammar.fullmatch(value) for grammar in _FORMAT.values())
 
 
-def is_literal(value: str) -> bool:
-    """Whether an unquoted word is a literal, and no name, call, path or expression."""
-    if not is_value(value, 7) or value.startswith(("!", "/", "./", "~/", "$", "&", "*", "http://", "https://")):
+def is_literal(value: str, settings: bool = False, yaml: bool = False) -> bool:
+    """Whether an unquoted word is a literal, and no name, call, path or expression; ``settings`` where words are never variables."""
+    if not is_value(value, 7) or value.startswith(("!", "./", "~/", "$", "http://", "https://")) or yaml and value[0] in "&*":
+        return False
+    if value[0] == "/" and not (_RUN64.fullmatch(value) and len(value) >= 20 and (value[-1] == "=" or sum(map(str.isupper, value)) >= 5)):
         return False
     if any(c in value for c in "()[]{}"):
         return False
-    return not (_WORDY.fullmatch(value) and not any(c.isdigit() for c in value))
+    if _WORDY.fullmatch(value) and not any(c.isdigit() for c in value):
+        return settings and "." not in value and any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)
+    return True
 
 
 class Finding:
@@ -221,18 +225,20 @@ def _named(text: str, start: int, end: int, path: str) -> tuple[str, list[tuple[
             if value.strip() != value or " " in value and not any(c.isdigit() for c in value):
                 return None
             return (family, spans) if is_value(value) and "://" not in value else None
-        plain = _PLAIN_FILES.search(path) or _COMMENT_LINE.match(_line(text, a)) or (a and text[a - 1] in "?&")
+        in_query = bool(a and text[a - 1] in "?&")
+        plain = _PLAIN_FILES.search(path) or _COMMENT_LINE.match(_line(text, a)) or in_query
+        yaml = path.lower().endswith((".yml", ".yaml"))
         scheme = _SCHEME.match(text, at)
         if scheme:
             value = _HEADER_VALUE.match(text, scheme.end())
             return ("bearer_token", [value.span()]) if value and is_value(value[0], 8) else None
         if plain:
-            bare = _BARE.match(text, at) if a and text[a - 1] in "?&" else _BARE_LINE.match(text, at)
-            if bare and is_literal(bare[0].rstrip(",;")) and "://" not in bare[0]:
-                value = bare[0].rstrip(",;")
+            bare = _BARE.match(text, at) if in_query else _BARE_LINE.match(text, at)
+            value = (bare[0].split("&")[0] if in_query else bare[0]).rstrip(",;") if bare else ""
+            if value and is_literal(value, True, yaml) and "://" not in value:
                 return family, [(bare.start(), bare.start() + len(value))]
         block = _BLOCK.match(text, at)
-        if block and (block["q"] or plain) and (is_value(block["v"]) if block["q"] else block["b"] and is_literal(block["v"]) and not re.match(r"[\w.-]+:", block["v"])):
+        if block and (block["q"] or plain) and (is_value(block["v"]) if block["q"] else block["b"] and is_literal(block["v"], True) and not re.match(r"[\w.-]+:", block["v"])):
             spans = [block.span("v")]
             at = block.end()
             while block["q"] and (more := _NEXT.match(text, at)):
@@ -249,7 +255,7 @@ def _named(text: str, start: int, end: int, path: str) -> tuple[str, list[tuple[
         if m and is_value(m["v"], 8) and (m.re is not _CALL or any(c.isdigit() for c in m["v"])):
             return family, [m.span("v")]
     spaced = _SPACED.match(text, b)
-    if spaced and _COMMENT_LINE.match(_line(text, a)) and is_value(spaced["v"]) and sum(map(str.isdigit, spaced["v"])) >= 2 and not re.search(r"[\w]\.\w{1,4}$", spaced["v"]):
+    if spaced and _COMMENT_LINE.match(_line(text, a)) and is_value(spaced["v"], 8) and (sum(map(str.isdigit, spaced["v"])) >= 2 or re.search(r"\w[!*%$#@&^+]\w", spaced["v"])) and not re.search(r"[\w]\.\w{1,4}$", spaced["v"]):
         return family, [spaced.span("v")]
     prose = _PROSE.match(text, b)
     if prose and is_value(prose["v"]) and any(c.isdigit() or not c.isalnum() for c in prose["v"]):
@@ -352,13 +358,15 @@ def find(text: str, path: str = "") -> list[Finding]:
             if start and (text[start - 1].isalnum() or text[start - 1] in "_-"):
                 continue
             m = _FORMAT[family].match(text, start)
-            if not m and start and text[start - 1] in "\"'`":  # a token cut into joined pieces
+            mark = text[start - 1 : start]
+            if mark and mark in "\"'`" and (not m or text[m.end() : m.end() + 1] == mark):  # a token may be cut into joined pieces
                 quoted = _QUOTED.match(text, start - 1)
                 spans = _pieces(text, quoted) if quoted else []
-                if len(spans) > 1:
-                    joined = _FORMAT[family].match("".join(text[x:y] for x, y in spans))
-                    if joined and not PLACEHOLDER.search(joined[0]):
-                        found.append((2, family, spans))
+                joined = _FORMAT[family].fullmatch("".join(text[x:y] for x, y in spans)) if len(spans) > 1 else None
+                if joined and not PLACEHOLDER.search(joined[0]):
+                    found.append((2, family, spans))
+                    continue
+            if not m:
                 continue
             if m and not PLACEHOLDER.search(m[0]) and len(set(m[0][8:])) > 4:
                 found.append((2, family, [m.span()]))
