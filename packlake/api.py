@@ -163,6 +163,12 @@ class Repository:
             path.write_text(body, encoding="utf-8")
         return body
 
+    def pack_context(self, task: str, tokens: int = dims.DEFAULT_BUDGET, fmt: str = "markdown") -> str:
+        """A pack without a timestamp, under a comment that tells what it spares."""
+        selection = self.select(task, tokens)
+        make = render.json_pack if fmt == "json" else render.markdown_pack
+        return render.savings_header(selection) + make(selection, self._told("PROJECT_INDEX.md"), self._told("DECISIONS.md"))
+
     def export(self, tool: str, task: str, tokens: int = dims.DEFAULT_BUDGET, **options) -> str:
         """The context file of a tool, written to the root."""
         if tool not in render.TOOLS:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packlake import dims
-from packlake.operators import extract, graph, index
+from packlake.operators import extract, graph, index, symbols
 from packlake.plans import corpus, sql
 from packlake.plans.rank_queries import JS_EDGES
 from packlake.session import table
@@ -112,6 +112,12 @@ def python_by_pattern(spark, sf_dir):
     return _flat(_read(spark, sf_dir, "Python"), extract.python_by_pattern(F.col("content")), "imports", "symbols")
 
 
+@query()
+def symbol_rows(spark, sf_dir):
+    """Definitions with their line ranges, read from the sources themselves."""
+    return symbols.symbol_rows(symbols.file_symbols(corpus.files(spark, sf_dir)))
+
+
 @query()
 def file_summaries(spark, sf_dir):
     """The summary of every accepted file; Python and TOML are read by their own parsers, which SQL cannot do."""

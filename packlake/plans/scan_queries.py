@@ -8,6 +8,7 @@ from packlake import dims
 from packlake.functions import paths, text
 from packlake.functions.redaction import PATTERNS, redact, redaction_counts
 from packlake.operators import classify
+from packlake.operators.symbols import symbol_weight
 from packlake.plans import corpus, sql
 from packlake.session import spread, table
 
@@ -118,10 +119,9 @@ def identifier_parts(spark, sf_dir):
 SELECT repo, rel_path, round(sum(CASE lower(trim(kind)) WHEN 'function' THEN 2.0 WHEN 'method' THEN 1.5 WHEN 'class' THEN 1.0 ELSE 1.0 END * len(list_intersect({_PARTS}, k.kw))), 6) AS score
 FROM (SELECT DISTINCT file_id, repo, rel_path, name, kind, start_line, end_line, parent FROM symbols) s, k GROUP BY repo, rel_path""")
 def symbol_score(spark, sf_dir):
-    weight = F.when(F.lower(F.trim("kind")) == "function", 2.0).when(F.lower(F.trim("kind")) == "method", 1.5).otherwise(1.0)
     rows = table(spark, sf_dir, "symbols").distinct()
     hits = F.size(F.array_intersect(text.identifier_parts(F.col("name")), corpus.task_keywords(spark, sf_dir)))
-    return rows.groupBy("repo", "rel_path").agg(F.round(F.sum(weight * F.when(F.col("name").isNotNull(), hits).otherwise(F.lit(None))), 6).alias("score"))
+    return rows.groupBy("repo", "rel_path").agg(F.round(F.sum(symbol_weight(F.col("kind")) * F.when(F.col("name").isNotNull(), hits).otherwise(F.lit(None))), 6).alias("score"))
 
 
 @query("""SELECT repo, rel_path, unnest(list_sort(list_distinct(list_concat(regexp_extract_all(content, '`([^`]+\\.[a-zA-Z]{1,10})`', 1), regexp_extract_all(content, '"([^"]+\\.[a-zA-Z]{1,10})"', 1))))) AS path

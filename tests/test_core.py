@@ -263,3 +263,30 @@ def test_plain_paths(spark):
     rows = {"a/./b": "a/b", "./a": "a", "a//b": "a/b", "a\\b\\.\\c": "a/b/c", "/a": "a", "././a/.": "a", ".env": ".env", "a/.env": "a/.env", ".": None, "": None, "./": None, "a/../b": "a/../b", "a/././/b/": "a/b"}
     frame = spark.createDataFrame([Row(p=p) for p in rows])
     assert {r["p"]: r["x"] for r in frame.select("p", plain_path(F.col("p")).alias("x")).collect()} == rows
+
+
+def test_symbols_of_python():
+    from packlake.operators.symbols import python_symbols
+
+    source = "import x\n@d\ndef a():\n    def b(): pass\n\nclass C:\n    async def m(self):\n        def n(): pass\n    class D:\n        pass\nif x:\n    def e(): pass\n"
+    assert python_symbols(source) == [
+        ("a", "function", 3, 4, None), ("b", "function", 4, 4, None), ("C", "class", 6, 10, None), ("m", "method", 7, 8, "C"), ("n", "method", 8, 8, "C"), ("D", "class", 9, 10, "C"), ("e", "function", 12, 12, None),
+    ]
+    assert python_symbols("def f(:") is None
+
+
+def test_symbols_of_javascript():
+    from packlake.operators.symbols import javascript_symbols
+
+    source = "// function no() {}\nexport async function a(x: {y: number}): Promise<void> {\n  function inner() {}\n}\nexport class C extends B {\n  x = () => { return 1 }\n  static async m(a, b = {}) {\n    if (a) { }\n  }\n  get v() { return '}' }\n}\nconst f = () => {\n  function hidden() {}\n}\nfunction* g() { return /[}]/ }\n"
+    assert javascript_symbols(source) == [("a", "function", 2, 4, None), ("C", "class", 5, 11, None), ("m", "method", 7, 9, "C"), ("v", "method", 10, 10, "C"), ("g", "function", 15, 15, None)]
+    assert javascript_symbols("function f( {") is None and javascript_symbols("") == []
+
+
+def test_symbol_tables(spark):
+    from packlake.operators import symbols
+
+    files = spark.createDataFrame([("r", "a.py", "Python", "def f(): pass"), ("r", "b.ts", "TypeScript", "}"), ("r", "c.js", "JavaScript", None), ("r", "d.go", "Go", "x")], "repo string, rel_path string, language string, content string")
+    found = symbols.file_symbols(files)
+    assert {r["rel_path"]: r["parse_error"] for r in found.collect()} == {"a.py": False, "b.ts": True, "c.js": True}
+    assert [(r["name"], r["kind"], r["start_line"]) for r in symbols.symbol_rows(found).collect()] == [("f", "function", 1)]

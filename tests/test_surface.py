@@ -69,6 +69,7 @@ def test_pack(spark, tree):
     assert "tests/test_auth.py" not in repo.pack("repair login check", tokens=4000, include_tests=False)
     assert {r["kind"] for r in json.loads(repo.pack("login", tokens=4000, fmt="json", no_source=True))["selected"]} == {"summary"}
     assert "# Cursor Context" in repo.export("cursor", "login", tokens=500) and (tree / "CURSOR_CONTEXT.md").exists()
+    assert repo.pack_context("login", 400).startswith("<!-- ")
     assert "1. auth.py" in repo.list_files("login", 3)
     assert "[REDACTED_AWS_KEY_ID]" in repo.get_file("conf.py")
     assert repo.get_summary("auth.py")["docstring"] == "Login."
