@@ -37,16 +37,11 @@ def canonical_digest(value: Column) -> Column:
 
 
 def complete_listings(log: DataFrame) -> DataFrame:
-    """(repo, snapshot_no, ord, last): the complete listings of each repository numbered without gaps."""
+    """(repo, snapshot_no, ord, next_no): the complete listings of each repository numbered without gaps, with the number of the one that follows."""
     complete = log.where(F.col("is_complete") & F.col("repo").isNotNull() & F.col("snapshot_no").isNotNull())
     complete = complete.select("repo", "snapshot_no").distinct()
-    by_repo = Window.partitionBy("repo")
-    return complete.select(
-        "repo",
-        "snapshot_no",
-        F.row_number().over(by_repo.orderBy("snapshot_no")).alias("ord"),
-        F.count(F.lit(1)).over(by_repo).cast("int").alias("last"),
-    )
+    in_order = Window.partitionBy("repo").orderBy("snapshot_no")
+    return complete.select("repo", "snapshot_no", F.row_number().over(in_order).alias("ord"), F.lead("snapshot_no").over(in_order).alias("next_no"))
 
 
 def snapshot_state(rows: DataFrame, log: DataFrame) -> DataFrame:
@@ -56,7 +51,7 @@ def snapshot_state(rows: DataFrame, log: DataFrame) -> DataFrame:
     slim = slim.where(F.col("rel_path").isNotNull())
     slim = slim.join(complete_listings(log), ["repo", "snapshot_no"])  # a few rows per repository; the planner picks the join by size
     return slim.groupBy("repo", "rel_path", "ord").agg(
-        F.max("version")["digest"].alias("digest"), F.first("snapshot_no").alias("snapshot_no"), F.first("last").alias("last")
+        F.max("version")["digest"].alias("digest"), F.first("snapshot_no").alias("snapshot_no"), F.first("next_no").alias("next_no")
     )
 
 
@@ -65,20 +60,20 @@ def snapshot_changes(rows: DataFrame, log: DataFrame) -> DataFrame:
 
     The later side is keyed by its number, the earlier side by its number plus one, so one full outer join
     compares all pairs of all repositories at once; the first listing has no earlier one and the side after the
-    last one has no later, so both are cut before the join. A hot repository spreads over all tasks since the path is part of the key.
+    last one has no later, so both are cut before the join. Either side knows the later listing's number, so no join follows.
+    A hot repository spreads over all tasks since the path is part of the key.
     """
     state = snapshot_state(rows, log)
-    later = state.where("ord > 1").select("repo", "rel_path", "ord", F.col("digest").alias("new_digest"), F.lit(True).alias("is_new"))
-    earlier = state.where("ord < last").select("repo", "rel_path", (F.col("ord") + 1).alias("ord"), F.col("digest").alias("old_digest"), F.lit(True).alias("is_old"))
+    later = state.where("ord > 1").select("repo", "rel_path", "ord", F.col("digest").alias("new_digest"), F.col("snapshot_no").alias("new_no"))
+    earlier = state.where("next_no IS NOT NULL").select("repo", "rel_path", (F.col("ord") + 1).alias("ord"), F.col("digest").alias("old_digest"), F.col("next_no").alias("old_no"))
     joined = later.join(earlier, ["repo", "rel_path", "ord"], "full_outer")
     kind = (
-        F.when(F.col("is_old").isNull(), "added")
-        .when(F.col("is_new").isNull(), "removed")
+        F.when(F.col("old_no").isNull(), "added")
+        .when(F.col("new_no").isNull(), "removed")
         .when(F.col("new_digest") != F.col("old_digest"), "changed")
     )
-    found = joined.select("repo", "rel_path", "ord", kind.alias("change_kind")).where(F.col("change_kind").isNotNull())
-    numbers = complete_listings(log).select("repo", "ord", "snapshot_no")
-    return found.join(numbers, ["repo", "ord"]).select("repo", "rel_path", "snapshot_no", "change_kind")
+    found = joined.select("repo", "rel_path", F.coalesce("new_no", "old_no").alias("snapshot_no"), kind.alias("change_kind"))
+    return found.where(F.col("change_kind").isNotNull())
 
 
 def change_counts(changes: DataFrame) -> DataFrame:
