@@ -82,7 +82,8 @@ class Repository:
         summaries, edges = self.summaries(), self.edges()
         row = index.repository_index(files, summaries).first()
         if row:
-            (self.workspace / "PROJECT_INDEX.md").write_text(render.index_document(row.asDict(), now() if timestamp is None else timestamp), encoding="utf-8")
+            settings = [r["rel_path"] for r in index.config_files(files).orderBy("rel_path").collect()]
+            (self.workspace / "PROJECT_INDEX.md").write_text(render.index_document(row.asDict(), settings, now() if timestamp is None else timestamp), encoding="utf-8")
         size = files.agg(F.sum("size")).first()[0] or 0
         stats = {
             "languages": {r["language"]: r["n_files"] for r in index.language_counts(files).orderBy(F.desc("n_files"), "language").collect()},

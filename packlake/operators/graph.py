@@ -194,7 +194,13 @@ def dependency_notes(selected: DataFrame, edges: DataFrame) -> DataFrame:
     local = edges.where("kind = 'local'").select("repo", "source", "target")
     forward = local.join(chosen.withColumnRenamed("rel_path", "source"), ["repo", "source"], "left_semi")
     backward = forward.join(chosen.withColumnRenamed("rel_path", "target"), ["repo", "target"], "left_semi")
-    ticked = lambda names: F.array_join(F.transform(F.slice(F.array_sort(names), 1, 6), lambda n: F.concat(F.lit("`"), n, F.lit("`"))), ", ")
-    imports = forward.groupBy("repo", F.col("source").alias("rel_path")).agg(F.concat(F.lit("→ imports "), ticked(F.collect_list("target"))).alias("note"))
-    imported = backward.groupBy("repo", F.col("target").alias("rel_path")).agg(F.concat(F.lit("← imported by "), ticked(F.collect_list("source"))).alias("note"))
+
+    def named(rows: DataFrame, key: str, other: str, told: str) -> DataFrame:
+        """The first six names of each file; the limit goes below the shuffle, so a file that everything imports gathers no more either."""
+        order = Window.partitionBy("repo", key).orderBy(other)
+        first = rows.select("repo", key, other).withColumn("n", F.row_number().over(order)).where("n <= 6")
+        ticked = F.array_join(F.transform(F.array_sort(F.collect_list(other)), lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")
+        return first.groupBy("repo", F.col(key).alias("rel_path")).agg(F.concat(F.lit(told), ticked).alias("note"))
+
+    imports, imported = named(forward, "source", "target", "→ imports "), named(backward, "target", "source", "← imported by ")
     return imports.unionByName(imported.join(imports, ["repo", "rel_path"], "left_anti"))

@@ -88,7 +88,7 @@ def language_counts(files: DataFrame) -> DataFrame:
 
 
 def repository_index(files: DataFrame, summaries: DataFrame) -> DataFrame:
-    """One row per repository with all parts of the index, as arrays of bounded length."""
+    """One row per repository with the parts of the index that are of bounded length; settings files are rows of their own (``config_files``)."""
     def gathered(rows: DataFrame, name: str, order: str, *cols: str) -> DataFrame:
         item = F.struct(F.col(order).alias("_o"), *cols)
         strip = (lambda x: x[cols[0]]) if len(cols) == 1 else (lambda x: F.struct(*[x[c].alias(c) for c in cols]))
@@ -104,7 +104,6 @@ def repository_index(files: DataFrame, summaries: DataFrame) -> DataFrame:
         gathered(directory_histogram(files), "directories", "place", "directory", "n_files", "purpose"),
         gathered(entries, "entrypoints", "place", "rel_path"),
         gathered(test_directories(files, summaries), "test_dirs", "place", "directory"),
-        gathered(config_files(files).withColumn("o", F.col("rel_path")), "config_files", "o", "rel_path"),
         gathered(key_files(summaries, entries), "key_files", "place", "rel_path", "language", "purpose", "exports"),
     ):
         out = out.join(part, "repo", "left")

@@ -210,6 +210,11 @@ def frameworks(spark, sf_dir):
     return index.frameworks(corpus.files(spark, sf_dir), corpus.summaries(spark, sf_dir))
 
 
+@query(f"SELECT DISTINCT repo, rel_path FROM files WHERE lower({sql.name('rel_path')}) IN {sql.in_list(dims.CONFIG_NAMES)} OR (starts_with(rel_path, '.github/workflows/') AND regexp_matches(rel_path, '\\.ya?ml$'))")
+def config_files(spark, sf_dir):
+    return index.config_files(corpus.files(spark, sf_dir))
+
+
 @query(f"""WITH {sql.SUMMARIES}, {_ENTRIES} SELECT repo, rel_path, score, place FROM (
   SELECT s.repo, s.rel_path, (CASE WHEN e.repo IS NOT NULL THEN 10.0 ELSE 0.0 END + len(coalesce(exports, [])) * 1.0 + len(coalesce(symbols, [])) * 0.5 + len(coalesce(imports, [])) * 0.3)::DOUBLE AS score,
     row_number() OVER (PARTITION BY s.repo ORDER BY (CASE WHEN e.repo IS NOT NULL THEN 10.0 ELSE 0.0 END + len(coalesce(exports, [])) * 1.0 + len(coalesce(symbols, [])) * 0.5 + len(coalesce(imports, [])) * 0.3)::DOUBLE DESC, s.rel_path)::INT AS place
