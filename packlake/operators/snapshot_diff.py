@@ -45,13 +45,16 @@ def complete_listings(log: DataFrame) -> DataFrame:
 
 
 def snapshot_state(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """One row per (repo, rel_path, complete listing): the canonical hash of the row that stands for the path."""
+    """(repo, rel_path, ord, digest, listing): one row per path and complete listing, with the canonical hash of the row that stands for the path.
+
+    What is known of the listing stays one column, so that both sides of the join below read the very same aggregate and its shuffle is done once.
+    """
     digest = F.coalesce(canonical_digest(F.col("content_hash")), canonical_digest(F.col("summary_hash")))
     slim = rows.select("repo", "snapshot_no", plain_path(F.col("rel_path")).alias("rel_path"), F.struct("loaded_at", digest.alias("digest")).alias("version"))
     slim = slim.where(F.col("rel_path").isNotNull())
     slim = slim.join(complete_listings(log), ["repo", "snapshot_no"])  # a few rows per repository; the planner picks the join by size
     return slim.groupBy("repo", "rel_path", "ord").agg(
-        F.max("version")["digest"].alias("digest"), F.first("snapshot_no").alias("snapshot_no"), F.first("next_no").alias("next_no")
+        F.max("version")["digest"].alias("digest"), F.first(F.struct("ord", "snapshot_no", "next_no")).alias("listing")
     )
 
 
@@ -64,8 +67,8 @@ def snapshot_changes(rows: DataFrame, log: DataFrame) -> DataFrame:
     A hot repository spreads over all tasks since the path is part of the key.
     """
     state = snapshot_state(rows, log)
-    later = state.where("ord > 1").select("repo", "rel_path", "ord", F.col("digest").alias("new_digest"), F.col("snapshot_no").alias("new_no"))
-    earlier = state.where("next_no IS NOT NULL").select("repo", "rel_path", (F.col("ord") + 1).alias("ord"), F.col("digest").alias("old_digest"), F.col("next_no").alias("old_no"))
+    later = state.where("listing.ord > 1").select("repo", "rel_path", "ord", F.col("digest").alias("new_digest"), F.col("listing.snapshot_no").alias("new_no"))
+    earlier = state.where("listing.next_no IS NOT NULL").select("repo", "rel_path", (F.col("ord") + 1).alias("ord"), F.col("digest").alias("old_digest"), F.col("listing.next_no").alias("old_no"))
     joined = later.join(earlier, ["repo", "rel_path", "ord"], "full_outer")
     kind = (
         F.when(F.col("old_no").isNull(), "added")
