@@ -93,6 +93,13 @@ class Repository:
         }
         return Scan(files, skipped, summaries, edges, stats)
 
+    def scan_report(self, top: int = 5) -> str:
+        """A scan as a few lines of text."""
+        stats = self.scan().stats
+        languages = ", ".join(f"{name} ({n})" for name, n in list(stats["languages"].items())[:top])
+        skipped = ", ".join(f"{reason} ({n})" for reason, n in stats["skipped"].items()) or "none"
+        return f"Files: {sum(stats['languages'].values()):,}\nLanguages: {languages}\nSkipped: {skipped}\nEstimated tokens: ~{stats['est_tokens']:,}\n"
+
     def summaries(self) -> DataFrame:
         return stores.read_or_empty(self.spark, self._store("summaries"), stores.SUMMARY)
 

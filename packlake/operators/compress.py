@@ -1,4 +1,4 @@
-"""Compression of a rendered pack: a protocol, a registry, and two providers that need no network."""
+"""Compression of a rendered pack: a protocol, a registry, and providers that need no network."""
 
 from __future__ import annotations
 
@@ -33,7 +33,18 @@ class Squeeze:
         return "squeeze"
 
 
-PROVIDERS: dict[str, Callable[[], CompressionProvider]] = {"none": NoOp, "squeeze": Squeeze}
+class Clip:
+    """Whole lines from the start, as many as the budget holds at 3.5 characters a token."""
+
+    def compress(self, text: str, *, budget: int) -> str:
+        room = int(budget * 3.5)
+        return text if len(text) <= room else text[: text.rfind("\n", 0, room) + 1] + "*[clipped]*\n"
+
+    def name(self) -> str:
+        return "clip"
+
+
+PROVIDERS: dict[str, Callable[[], CompressionProvider]] = {"none": NoOp, "squeeze": Squeeze, "clip": Clip}
 
 
 def provider(name: str) -> CompressionProvider:

@@ -70,6 +70,7 @@ def test_pack(spark, tree):
     assert {r["kind"] for r in json.loads(repo.pack("login", tokens=4000, fmt="json", no_source=True))["selected"]} == {"summary"}
     assert "# Cursor Context" in repo.export("cursor", "login", tokens=500) and (tree / "CURSOR_CONTEXT.md").exists()
     assert repo.pack_context("login", 400).startswith("<!-- ")
+    assert "Languages: Python (6)" in repo.scan_report(1) and "binary (1)" in repo.scan_report()
     assert "1. auth.py" in repo.list_files("login", 3)
     assert "[REDACTED_AWS_KEY_ID]" in repo.get_file("conf.py")
     assert repo.get_summary("auth.py")["docstring"] == "Login."
@@ -138,7 +139,8 @@ def test_notes(tmp_path):
 def test_compressors():
     assert compress.provider("none").compress("a  \n\n\n\nb", budget=1) == "a  \n\n\n\nb"
     assert compress.provider("squeeze").compress("a  \n\n\n\nb", budget=1) == "a\n\nb"
-    with pytest.raises(ValueError, match="none, squeeze"):
+    assert compress.provider("clip").compress("ab\n" * 10, budget=3) == "ab\n" * 3 + "*[clipped]*\n"
+    with pytest.raises(ValueError, match="clip, none, squeeze"):
         compress.provider("zip")
 
 
