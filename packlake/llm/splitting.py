@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 #: Penalties of a cut, by the boundary it falls on.
 SYMBOL, PARAGRAPH, LINE, BLANK, CHARACTER = 0.0, 0.15, 0.5, 4.0, 12.0
 NAMES = {SYMBOL: "symbol", PARAGRAPH: "paragraph", LINE: "line", BLANK: "blank", CHARACTER: "character"}
+#: Limits that are read on the driver at most.
+LIMIT_ROWS = 1000
 PIECES = "result_id long, piece_no int, n_pieces int, start_byte int, end_byte int, boundary string, piece string"
 
 _NEWLINE = re.compile(rb"\r\n|\n|\r")
@@ -120,26 +122,24 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["result_id", "piece_no", "n_pieces", "start_byte", "end_byte", "boundary", "piece"])
 
 
-def limits_for(limits: DataFrame, use_case: str) -> DataFrame:
-    """(kind_key, max_size, overlap_size) of a use case; the table is fixed and has a handful of rows."""
-    chosen = limits.where(F.lower(F.trim("use_case")) == use_case)
-    return chosen.select(F.lower(F.trim("kind")).alias("kind_key"), "max_size", F.coalesce("overlap_size", F.lit(0)).alias("overlap_size"))
+def limits_for(limits: DataFrame, use_case: str) -> dict[str, tuple[int, int]]:
+    """(max_size, overlap_size) by kind of a use case; the table is fixed and small, which is checked."""
+    rows = limits.where(F.lower(F.trim("use_case")) == use_case).limit(LIMIT_ROWS + 1).collect()
+    if len(rows) > LIMIT_ROWS:
+        raise ValueError(f"more than {LIMIT_ROWS} limits")
+    return {(r["kind"] or "").strip().lower(): (r["max_size"], r["overlap_size"] or 0) for r in rows if r["max_size"] is not None}
 
 
 def with_limit(items: DataFrame, limits: DataFrame) -> DataFrame:
     """``items`` with the limit of their kind; unlisted and null kinds take the row 'other'."""
-    own = limits_for(limits, "split")
-    other = own.where("kind_key = 'other'").groupBy(F.col("kind_key").alias("other_key")).agg(F.max("max_size").alias("other_max"), F.max("overlap_size").alias("other_overlap"))
-    keyed = items.withColumn("kind_key", F.lower(F.trim(F.regexp_replace("kind", r"^\s+|\s+$", "")))).withColumn("other_key", F.lit("other"))
-    joined = keyed.join(own, "kind_key", "left").join(other, "other_key", "left")
-    return joined.select(
-        "result_id",
-        "file_id",
-        "kind_key",
-        "content",
-        F.when(F.col("max_size").isNull(), F.col("other_overlap")).otherwise(F.col("overlap_size")).alias("overlap_size"),
-        F.coalesce("max_size", "other_max").alias("max_size"),
-    )
+    held = limits_for(limits, "split")
+    key = F.lower(F.regexp_replace("kind", r"^\s+|\s+$", ""))
+    pairs = [x for kind, sizes in held.items() for x in (F.lit(kind), F.struct(F.lit(sizes[0]).alias("max_size"), F.lit(sizes[1]).alias("overlap_size")))]
+    if not pairs:
+        return items.select("result_id", "file_id", key.alias("kind_key"), "content", F.lit(0).alias("overlap_size"), F.lit(None).cast("int").alias("max_size"))
+    table = F.create_map(*pairs)
+    sizes = F.coalesce(table[key], table[F.lit("other")])
+    return items.select("result_id", "file_id", key.alias("kind_key"), "content", sizes["overlap_size"].alias("overlap_size"), sizes["max_size"].alias("max_size"))
 
 
 def split_oversized(items: DataFrame, limits: DataFrame, symbols: DataFrame) -> DataFrame:
