@@ -66,7 +66,7 @@ _BULLET = re.compile(r"^\s*(?:>+\s*)?(?:[-*+•–]\s+|\d+[.)]\s+|\[[ xX]\]\s+|#
 _COMMENT = re.compile(r"^\s*(?:#+|//+|--|/\*+|\*|;+|%|\"\"\"|''')\s*(?P<t>\S.*?)\s*(?:\*/|\"\"\"|''')?\s*$")
 _HEADING = re.compile(r"^\s*#{1,6}\s")
 _DROP = re.compile(
-    r"`[^`\n]*`|\(\s*[\"“'«][^\"”'»()]*[\"”'»]\s*\)|<[^<>\n]{1,80}>|https?://\S+|(?<!\w)--?[\w-]+|[\w.-]*[/\\][\w./\\-]*\w|\b\w+\(\)?|\b\w*_\w*|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z0-9]+[A-Z]\w*|\b[\w-]+\.(?:py|md|ts|js|json|ya?ml|toml|sh|go|sql|css|mjs)\b"
+    r"`[^`\n]*`|\(\s*[\"“'«][^\"”'»()]*[\"”'»]\s*\)|<[^<>\n]{1,80}>|https?://\S+|(?<!\w)--?[\w-]+|(?<![\w.-])[\w.-]*[/\\][\w./\\-]*\w|\b\w+\(\)?|\b\w*_\w*|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z0-9]+[A-Z]\w*|(?<![\w-])[\w-]+\.(?:py|md|ts|js|json|ya?ml|toml|sh|go|sql|css|mjs)\b"
 )
 _STOP = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+|(?<=[.!?…])$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")

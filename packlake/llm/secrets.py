@@ -279,7 +279,7 @@ def _armor(text: str, at: int) -> list[tuple[int, int]]:
         end = text.find("-----", close + 8)
         stop = end + 5 if end >= 0 else len(text)
     else:
-        m = _ARMOR_BODY.match(text, head.end())
+        m = _ARMOR_BODY.match(text, head.end(), following if following >= 0 else len(text))
         body, stop = (m[0], m.end()) if m else ("", head.end())
     material = re.sub(r"\\[rn]|[^A-Za-z0-9+/=]", "", body)
     if len(material) < 24 or PLACEHOLDER.search(body) or REFERENCE.search(body):

@@ -94,6 +94,16 @@ def test_where_and_how_a_text_fails():
     assert (v.valid, v.line) == (False, 2)
 
 
+def test_deep_and_odd_texts_end():
+    """Runs that invite quadratic work or deep recursion are judged, and soon."""
+    for sign in ("a=(", "(", "`", "${", "$(", "- ", '"', "password=", "-----BEGIN PRIVATE KEY-----"):
+        for language in GOOD:
+            parsing.parse(language, sign * 3000)
+        secrets.find(sign * 3000, "a.py")
+    assert not parsing.parse("JavaScript", "a=(" * 3000).valid
+    assert parsing.parse("JavaScript", "a=(" * 400 + "1" + ")" * 400).valid
+
+
 def test_derivatives_are_remembered_and_bounded():
     grammar = Grammar("start = 'a' { 'b' start 'c' }\n", {}, {}, limit=200)
     for n in range(60):

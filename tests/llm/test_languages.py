@@ -47,6 +47,7 @@ def test_sentences_of_prose():
     text = "# A heading without a stop\n\nThe scanner reads `a.b` twice. See src/a.py\n\n```python\nx = compute(a, b)\n# Der Wert muss hier noch passen.\n```\n1;2;3\n{\"a\": \"the value is not here\"}\n"
     found = [text[a:b].strip() for a, b, _ in languages.sentences(text)]
     assert found == ["The scanner reads `a.b` twice.", "Der Wert muss hier noch passen."]
+    assert len(list(languages.sentences("x" * 300_000 + "\nThe scanner reads the tree. " + "a-b." * 50_000))) >= 1
     assert list(languages.sentences("")) == [] and list(languages.sentences("   \n")) == []
 
 
