@@ -173,6 +173,18 @@ def dependency_notes(spark, sf_dir):
     return graph.dependency_notes(table(spark, sf_dir, "selected").select("repo", "rel_path"), edges)
 
 
+@query()
+def whole_in_degree(spark, sf_dir):
+    """Dependents by the imports of all languages; Python's come from its parser, which SQL cannot do."""
+    return graph.in_degree(graph.graph_edges(corpus.files(spark, sf_dir)))
+
+
+@query()
+def whole_dependency_notes(spark, sf_dir):
+    """Notes by the imports of all languages."""
+    return graph.dependency_notes(table(spark, sf_dir, "selected").select("repo", "rel_path"), graph.graph_edges(corpus.files(spark, sf_dir)))
+
+
 @query(f"""SELECT repo, directory, n_files, place, coalesce({sql.case_of('lower(directory)', dims.DIR_PURPOSES)}, '') AS purpose FROM (
   SELECT repo, string_split(rel_path, '/')[1] AS directory, count(*) AS n_files, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, string_split(rel_path, '/')[1])::INT AS place
   FROM files WHERE contains(rel_path, '/') GROUP BY 1, 2) WHERE place <= {index.TOP_DIRS}""")

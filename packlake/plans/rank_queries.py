@@ -32,10 +32,14 @@ def _inputs(spark, sf_dir):
 
 
 def _js_edges(spark, sf_dir):
-    """Edges that SQL can follow as well: those of JavaScript and TypeScript."""
+    """Edges that SQL can follow as well: those of JavaScript and TypeScript. The ``whole_`` queries follow all."""
     return graph.javascript_edges(corpus.files(spark, sf_dir))
 
 
+def _all_edges(spark, sf_dir):
+    return graph.graph_edges(corpus.files(spark, sf_dir))
+
+
 def _joined(scores, *names):
     return scores.select("repo", "rel_path", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"), *names)
 
@@ -149,9 +153,9 @@ def test_pairs(spark, sf_dir):
 test_pairs.__test__ = False
 
 
-def _ranking(spark, sf_dir):
+def _ranking(spark, sf_dir, edges=_js_edges):
     summaries, keywords, churned, memory = _inputs(spark, sf_dir)
-    return rank.rank_files(summaries, _js_edges(spark, sf_dir), keywords, churned, memory)
+    return rank.rank_files(summaries, edges(spark, sf_dir), keywords, churned, memory)
 
 
 @query(_RANKING + f" SELECT repo, rel_path, rank::INT AS rank, {_TOLD} FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, rel_path) AS rank FROM ranking) WHERE rank <= 20")
@@ -159,8 +163,8 @@ def rank_topk(spark, sf_dir):
     return _joined(rank.top_files(_ranking(spark, sf_dir), 20), "rank")
 
 
-def _selection(spark, sf_dir):
-    summaries, ranking = corpus.summaries(spark, sf_dir), _ranking(spark, sf_dir)
+def _selection(spark, sf_dir, edges=_js_edges):
+    summaries, ranking = corpus.summaries(spark, sf_dir), _ranking(spark, sf_dir, edges)
     sized = ranking.join(budget.forms(summaries, corpus.files(spark, sf_dir)), ["repo", "rel_path"])
     return summaries, ranking, budget.select_within(sized, ["repo"])
 
@@ -187,6 +191,39 @@ def savings(spark, sf_dir):
     return budget.savings(summaries, selected)
 
 
+@query()
+def whole_dep_expand(spark, sf_dir):
+    """Boosts along the imports of all languages; Python's come from its parser, which SQL cannot do."""
+    summaries, keywords, churned, memory = _inputs(spark, sf_dir)
+    return _joined(rank.expand_dependencies(rank.scored(summaries, keywords, churned, memory), _all_edges(spark, sf_dir)))
+
+
+@query()
+def whole_test_pairs(spark, sf_dir):
+    return _joined(_ranking(spark, sf_dir, _all_edges).where(F.exists("reasons", lambda r: r.startswith("test_pair:"))))
+
+
+@query()
+def whole_rank_topk(spark, sf_dir):
+    return _joined(rank.top_files(_ranking(spark, sf_dir, _all_edges), 20), "rank")
+
+
+@query()
+def whole_budget_select(spark, sf_dir):
+    return _joined(_selection(spark, sf_dir, _all_edges)[2], "kind", "tokens", "select_no")
+
+
+@query()
+def whole_budget_excluded(spark, sf_dir):
+    return budget.excluded(*_selection(spark, sf_dir, _all_edges))
+
+
+@query()
+def whole_savings(spark, sf_dir):
+    summaries, _, selected = _selection(spark, sf_dir, _all_edges)
+    return budget.savings(summaries, selected)
+
+
 _MANY = f"""WITH {sql.SUMMARIES}, k AS (SELECT DISTINCT task_id, unnest({sql.keywords('task')}) AS token FROM tasks),
   p AS (SELECT repo, rel_path, 0 AS s, unnest({sql.tokens('rel_path')}) AS token FROM summaries_1 WHERE NOT {sql.is_secret('rel_path')}
     UNION ALL SELECT repo, rel_path, 1, unnest(list_distinct(list_transform(list_concat(coalesce(exports, []), coalesce(symbols, [])), lambda s: lower(s)))) FROM summaries_1 WHERE NOT {sql.is_secret('rel_path')}
