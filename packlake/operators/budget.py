@@ -143,21 +143,26 @@ def with_texts(selected: DataFrame, summaries: DataFrame, files: DataFrame) -> D
     return joined.withColumn("content", content).drop("shown", "told")
 
 
-def excluded(summaries: DataFrame, ranking: DataFrame, selected: DataFrame) -> DataFrame:
-    """(repo, rel_path, cause, note): files with secret names, then ranked ones that found no room."""
+def excluded(summaries: DataFrame, ranking: DataFrame, selected: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+    """(repo, rel_path, cause, note): files with secret names, then ranked ones that found no room; for each task where the ranking has a ``task_id``."""
     from packlake.operators.classify import exclusion_label, is_secret_file
 
-    keys = ["repo", "rel_path"]
-    secret = summaries.where(is_secret_file(F.col("rel_path"))).select(*keys).distinct().withColumn("cause", F.lit("secret"))
+    keys = [c for c in ("task_id", "repo", "rel_path") if c in ranking.columns]
+    secret = summaries.where(is_secret_file(F.col("rel_path"))).select("repo", "rel_path").distinct().withColumn("cause", F.lit("secret"))
+    if tasks is not None:
+        secret = secret.crossJoin(tasks.select("task_id").distinct()).select(*keys, "cause")
     over = ranking.select(*keys).join(selected.select(*keys), keys, "left_anti").withColumn("cause", F.lit("budget"))
     return secret.unionByName(over).withColumn("note", exclusion_label(F.col("rel_path")))
 
 
-def savings(summaries: DataFrame, selected: DataFrame) -> DataFrame:
-    """(repo, repo_total_tokens, used_tokens, saved_tokens, saved_pct) per repository; totals count every file, secret ones too."""
+def savings(summaries: DataFrame, selected: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+    """(repo, repo_total_tokens, used_tokens, saved_tokens, saved_pct) per repository, and task where given; totals count every file, secret ones too."""
+    keys = ["repo"] if tasks is None else ["task_id", "repo"]
     total = summaries.dropDuplicates(["repo", "rel_path"]).groupBy("repo").agg(F.sum(F.coalesce("line_count", F.lit(0)).cast("bigint") * 15).alias("repo_total_tokens"))
-    used = selected.groupBy("repo").agg(F.sum(F.col("tokens").cast("bigint")).alias("used_tokens"))
-    joined = total.join(used, "repo", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0).cast("bigint")))
+    if tasks is not None:
+        total = total.crossJoin(tasks.select("task_id").distinct())
+    used = selected.groupBy(*keys).agg(F.sum(F.col("tokens").cast("bigint")).alias("used_tokens"))
+    joined = total.join(used, keys, "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0).cast("bigint")))
     saved = F.greatest(F.lit(0).cast("bigint"), F.col("repo_total_tokens") - F.col("used_tokens"))
     pct = F.when(F.col("repo_total_tokens") > 0, (saved / F.col("repo_total_tokens") * 100).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return joined.select("repo", "repo_total_tokens", "used_tokens", saved.alias("saved_tokens"), pct.alias("saved_pct"))
+    return joined.select(*keys, "repo_total_tokens", "used_tokens", saved.alias("saved_tokens"), pct.alias("saved_pct"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packlake import dims
 from packlake.functions import text
 from packlake.operators import classify
 from packlake.operators.churn import churn
@@ -42,6 +43,12 @@ def task_keywords(spark, sf_dir):
     return F.array(*map(F.lit, found)) if found else F.array().cast("array<string>")
 
 
+def tasks(spark, sf_dir) -> DataFrame:
+    """(task_id, task, budget) of every task with a text; the default budget where a task names none."""
+    rows = table(spark, sf_dir, "tasks").where(F.col("task").isNotNull()).dropDuplicates(["task_id"])
+    return rows.select("task_id", "task", F.coalesce("budget", F.lit(dims.DEFAULT_BUDGET)).alias("budget"))
+
+
 def churn_counts(spark, sf_dir) -> DataFrame:
     """Listings of the last days as a log of touched paths."""
     log = table(spark, sf_dir, "file_snapshots").select("repo", F.col("rel_path").alias("path"), F.col("loaded_at").alias("ts"))

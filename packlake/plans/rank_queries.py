@@ -9,7 +9,7 @@ from packlake.operators import budget, classify, graph, rank
 from packlake.operators.churn import churn_score, churn_top
 from packlake.functions import paths, text
 from packlake.plans import corpus, sql
-from packlake.session import table
+from packlake.session import checkpointed, table
 
 QUERIES, ORACLES = {}, {}
 #: Paths that the corpus queries take as mentioned in the project's notes.
@@ -27,8 +27,11 @@ def query(oracle: str | None = None):
 
 
 def _inputs(spark, sf_dir):
-    memory = F.array(*map(F.lit, MENTIONED))
-    return corpus.summaries(spark, sf_dir), corpus.task_keywords(spark, sf_dir), corpus.churn_counts(spark, sf_dir), memory
+    return corpus.summaries(spark, sf_dir), corpus.task_keywords(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory()
+
+
+def _memory():
+    return F.array(*map(F.lit, MENTIONED))
 
 
 def _js_edges(spark, sf_dir):
@@ -153,9 +156,9 @@ def test_pairs(spark, sf_dir):
 test_pairs.__test__ = False
 
 
-def _ranking(spark, sf_dir, edges=_js_edges):
+def _ranking(spark, sf_dir):
     summaries, keywords, churned, memory = _inputs(spark, sf_dir)
-    return rank.rank_files(summaries, edges(spark, sf_dir), keywords, churned, memory)
+    return rank.rank_files(summaries, _js_edges(spark, sf_dir), keywords, churned, memory)
 
 
 @query(_RANKING + f" SELECT repo, rel_path, rank::INT AS rank, {_TOLD} FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, rel_path) AS rank FROM ranking) WHERE rank <= 20")
@@ -163,15 +166,15 @@ def rank_topk(spark, sf_dir):
     return _joined(rank.top_files(_ranking(spark, sf_dir), 20), "rank")
 
 
-def _selection(spark, sf_dir, edges=_js_edges):
-    summaries, ranking = corpus.summaries(spark, sf_dir), _ranking(spark, sf_dir, edges)
+def _selection(spark, sf_dir):
+    summaries, ranking = corpus.summaries(spark, sf_dir), _ranking(spark, sf_dir)
     sized = ranking.join(budget.forms(summaries, corpus.files(spark, sf_dir)), ["repo", "rel_path"])
     return summaries, ranking, budget.select_within(sized, ["repo"])
 
 
 @query(f"{_RANKING}, {_FORMS} SELECT repo, rel_path, kind, tokens, select_no, {_TOLD} FROM selected")
 def budget_select(spark, sf_dir):
-    """The flagship: for the first task, the files each repository shows within the budget."""
+    """For the first task, the files each repository shows within the default budget; ``whole_budget_select`` has all tasks."""
     return _joined(_selection(spark, sf_dir)[2], "kind", "tokens", "select_no")
 
 
@@ -191,37 +194,57 @@ def savings(spark, sf_dir):
     return budget.savings(summaries, selected)
 
 
+def _whole_scores(spark, sf_dir):
+    return rank.scored_tasks(corpus.summaries(spark, sf_dir), corpus.tasks(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory())
+
+
+def _whole_ranking(spark, sf_dir):
+    return rank.rank_tasks(corpus.summaries(spark, sf_dir), _all_edges(spark, sf_dir), corpus.tasks(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory())
+
+
+def _whole_selection(spark, sf_dir):
+    summaries, tasks, ranking = corpus.summaries(spark, sf_dir), corpus.tasks(spark, sf_dir), checkpointed(_whole_ranking(spark, sf_dir))
+    sized = ranking.join(budget.forms(summaries, corpus.files(spark, sf_dir)), ["repo", "rel_path"]).join(tasks.select("task_id", "budget"), "task_id")
+    return summaries, ranking, budget.select_within(sized, ["task_id", "repo", "budget"], F.col("budget")), tasks
+
+
+@query()
+def whole_score_signals(spark, sf_dir):
+    """The scores of every file for every task."""
+    return _joined(_whole_scores(spark, sf_dir), "task_id")
+
+
 @query()
 def whole_dep_expand(spark, sf_dir):
-    """Boosts along the imports of all languages; Python's come from its parser, which SQL cannot do."""
-    summaries, keywords, churned, memory = _inputs(spark, sf_dir)
-    return _joined(rank.expand_dependencies(rank.scored(summaries, keywords, churned, memory), _all_edges(spark, sf_dir)))
+    """Boosts for every task along the imports of all languages; Python's come from its parser, which SQL cannot do."""
+    return _joined(rank.expand_dependencies(checkpointed(_whole_scores(spark, sf_dir)), _all_edges(spark, sf_dir)), "task_id")
 
 
 @query()
 def whole_test_pairs(spark, sf_dir):
-    return _joined(_ranking(spark, sf_dir, _all_edges).where(F.exists("reasons", lambda r: r.startswith("test_pair:"))))
+    return _joined(_whole_ranking(spark, sf_dir).where(F.exists("reasons", lambda r: r.startswith("test_pair:"))), "task_id")
 
 
 @query()
 def whole_rank_topk(spark, sf_dir):
-    return _joined(rank.top_files(_ranking(spark, sf_dir, _all_edges), 20), "rank")
+    return _joined(rank.top_files(_whole_ranking(spark, sf_dir), 20), "rank", "task_id")
 
 
 @query()
 def whole_budget_select(spark, sf_dir):
-    return _joined(_selection(spark, sf_dir, _all_edges)[2], "kind", "tokens", "select_no")
+    """The flagship: for every task, the files each repository shows within the task's budget."""
+    return _joined(_whole_selection(spark, sf_dir)[2], "kind", "tokens", "select_no", "task_id", "budget")
 
 
 @query()
 def whole_budget_excluded(spark, sf_dir):
-    return budget.excluded(*_selection(spark, sf_dir, _all_edges))
+    return budget.excluded(*_whole_selection(spark, sf_dir))
 
 
 @query()
 def whole_savings(spark, sf_dir):
-    summaries, _, selected = _selection(spark, sf_dir, _all_edges)
-    return budget.savings(summaries, selected)
+    summaries, _, selected, tasks = _whole_selection(spark, sf_dir)
+    return budget.savings(summaries, selected, tasks)
 
 
 _MANY = f"""WITH {sql.SUMMARIES}, k AS (SELECT DISTINCT task_id, unnest({sql.keywords('task')}) AS token FROM tasks),

@@ -124,6 +124,18 @@ def symbol_score(spark, sf_dir):
     return rows.groupBy("repo", "rel_path").agg(F.round(F.sum(symbol_weight(F.col("kind")) * F.when(F.col("name").isNotNull(), hits).otherwise(F.lit(None))), 6).alias("score"))
 
 
+@query()
+def whole_symbol_score(spark, sf_dir):
+    """``symbol_score`` for every task: parts of names and keywords meet in an equi-join; files without a hit score 0."""
+    rows, tasks = table(spark, sf_dir, "symbols").distinct(), corpus.tasks(spark, sf_dir)
+    words = tasks.select("task_id", F.explode(text.keywords(F.col("task"))).alias("part"))
+    parts = rows.where(F.col("name").isNotNull()).select("repo", "rel_path", symbol_weight(F.col("kind")).alias("weight"), F.explode(text.identifier_parts(F.col("name"))).alias("part"))
+    hits = parts.join(words, "part").groupBy("task_id", "repo", "rel_path").agg(F.sum("weight").alias("score"))
+    named = rows.groupBy("repo", "rel_path").agg(F.max(F.col("name").isNotNull()).alias("named"))
+    found = named.crossJoin(tasks.select("task_id")).join(hits, ["task_id", "repo", "rel_path"], "left")
+    return found.select("task_id", "repo", "rel_path", F.when(F.col("named"), F.round(F.coalesce("score", F.lit(0.0)), 6)).alias("score"))
+
+
 @query("""SELECT repo, rel_path, unnest(list_sort(list_distinct(list_concat(regexp_extract_all(content, '`([^`]+\\.[a-zA-Z]{1,10})`', 1), regexp_extract_all(content, '"([^"]+\\.[a-zA-Z]{1,10})"', 1))))) AS path
 FROM files""")
 def memory_paths(spark, sf_dir):

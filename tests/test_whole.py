@@ -3,8 +3,11 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from packlake.plans import catalogue
+from packlake import dims
+from packlake.operators import budget, graph, rank
+from packlake.plans import catalogue, corpus, rank_queries
 
 SUMMARY = "repo string, rel_path string, language string, purpose string, imports array<string>, exports array<string>, symbols array<string>, docstring string, line_count int, content_hash string, file_id long"
 FILES = {
@@ -32,6 +35,7 @@ def small(spark, tmp_path_factory):
     put("tasks", [(1, "the ledger", 60), (2, "basket view", 25), (3, "rates of the store", None), (4, None, 50), (5, "", 30)], "task_id long, task string, budget int")
     put("file_snapshots", [("r", "pkg/store.py", datetime(2026, 1, 1))], "repo string, rel_path string, loaded_at timestamp")
     put("selected", [("r", "pkg/ledger.py"), ("r", "pkg/rates.py"), ("q", "store.py"), ("q", "basket.py")], "repo string, rel_path string")
+    put("symbols", [(1, "r", "pkg/store.py", "readRates", "function"), (2, "r", "pkg/store.py", "Ledger", "class"), (3, "q", "basket.py", None, "class"), (4, "q", "store.py", "x", "method")], "file_id long, repo string, rel_path string, name string, kind string")
     return at
 
 
@@ -48,6 +52,41 @@ def test_python_imports_count(spark, small):
 
 
 def test_python_imports_boost(spark, small):
-    got = {r["rel_path"]: (r["score"], r["reasons"]) for r in rows_of(spark, small, "whole_dep_expand") if r["repo"] == "r"}
+    got = {r["rel_path"]: (r["score"], r["reasons"]) for r in rows_of(spark, small, "whole_dep_expand") if r["repo"] == "r" and r.get("task_id", 1) == 1}
     assert got["pkg/rates.py"] == (0.8, "dep:ledger.py") and got["web/view.js"] == (0.8, "dep:ledger.js")
     assert any(r["rel_path"] == "pkg/rates.py" and "dep:ledger.py" in r["reasons"] for r in rows_of(spark, small, "whole_rank_topk"))
+
+
+def each_task(spark, small):
+    """(task_id, budget, ranking of that task alone, by the operators for one task)."""
+    for row in spark.read.parquet(f"{small}/tasks.parquet").where("task IS NOT NULL").orderBy("task_id").collect():
+        found = spark.range(1).select(corpus.text.keywords(F.lit(row["task"])).alias("k")).first()["k"]
+        keywords = F.array(*map(F.lit, found)) if found else F.array().cast("array<string>")
+        edges = graph.graph_edges(corpus.files(spark, small))
+        yield row["task_id"], row["budget"] or dims.DEFAULT_BUDGET, rank.rank_files(corpus.summaries(spark, small), edges, keywords, corpus.churn_counts(spark, small), rank_queries._memory())
+
+
+def test_every_task_is_ranked_and_gets_its_own_budget(spark, small):
+    sizes = {(r["repo"], r["rel_path"]): (r["full_tok"], r["snip_tok"], r["sum_tok"]) for r in budget.forms(corpus.summaries(spark, small), corpus.files(spark, small)).collect()}
+    top, chosen, left, used = set(), set(), set(), {}
+    for task, tokens, ranking in each_task(spark, small):
+        scores = [(r["repo"], r["rel_path"], r["score"], "; ".join(r["reasons"])) for r in ranking.collect()]
+        left.add((task, "q", "secret.key", "secret"))
+        for repo in ("r", "q"):
+            mine = sorted((s for s in scores if s[0] == repo), key=lambda s: (-s[2], s[1]))
+            top |= {(task, repo, path, n, round(score, 6), why) for n, (_, path, score, why) in enumerate(mine[:20], start=1)}
+            taken, over = budget.fold([sizes[s[:2]] for s in mine], tokens)
+            chosen |= {(task, tokens, repo, mine[at][1], kind, sizes[mine[at][:2]][budget.KINDS.index(kind)], n) for n, (at, kind) in enumerate(taken, start=1)}
+            left |= {(task, repo, s[1], "budget") for s in mine} - {(task, repo, mine[at][1], "budget") for at, _ in taken}
+            used[task, repo] = tokens - over
+    assert {task for task, *_ in top} == {1, 2, 3, 5} and {b for _, b, *_ in chosen} == {60, 25, 8000, 30}
+    assert {(r["task_id"], r["repo"], r["rel_path"], r["rank"], r["score"], r["reasons"]) for r in rows_of(spark, small, "whole_rank_topk")} == top
+    got = {(r["task_id"], r["budget"], r["repo"], r["rel_path"], r["kind"], r["tokens"], r["select_no"]) for r in rows_of(spark, small, "whole_budget_select")}
+    assert got == chosen
+    assert {(r["task_id"], r["repo"], r["rel_path"], r["cause"]) for r in rows_of(spark, small, "whole_budget_excluded")} == left
+    assert {(r["task_id"], r["repo"]): r["used_tokens"] for r in rows_of(spark, small, "whole_savings")} == used
+
+
+def test_symbols_are_scored_for_every_task(spark, small):
+    got = {(r["task_id"], r["repo"], r["rel_path"]): r["score"] for r in rows_of(spark, small, "whole_symbol_score")}
+    assert got == {(t, *p): s for t in (1, 2, 3, 5) for p, s in {("r", "pkg/store.py"): {1: 1.0, 3: 2.0}.get(t, 0.0), ("q", "basket.py"): None, ("q", "store.py"): 0.0}.items()}
