@@ -192,7 +192,7 @@ def _pieces(text: str, m: re.Match) -> list[tuple[int, int]]:
     """The spans of a quoted value and of the quoted pieces joined to it."""
     out = [m.span("v")]
     at = m.end()
-    while (more := _NEXT.match(text, at)) and len(out) < 40:
+    while more := _NEXT.match(text, at):
         out.append(more.span("v"))
         at = more.end()
     return out

@@ -145,6 +145,14 @@ def test_credentials(path, text, lines):
     assert again == shown and not left
 
 
+@pytest.mark.parametrize("form", ["signing_key = (\n    '%s'\n)\n", "const apiSecret = '%s';\n"])
+def test_every_piece_of_a_long_value_goes(form):
+    rng = random.Random(11)
+    pieces = ["".join(rng.choices("ABCDEFGHabcdefgh01234567+/", k=64)) for _ in range(50)]
+    shown, warnings = secrets.redact(form % ("'\n    '" if form[0] == "s" else "' +\n  '").join(pieces), "a.py" if form[0] == "s" else "a.js")
+    assert not [p for p in pieces if p in shown] and len(warnings) == 1
+
+
 def test_only_values_change():
     text = f'head\nurl = "pg://u:pa55word9@h/x"\nkey = "{TOKEN}" # tail\n'
     assert secrets.redact(text, "a.py")[0] == 'head\nurl = "pg://u:[REDACTED_DB_PASSWORD]@h/x"\nkey = "[REDACTED_GITHUB_TOKEN]" # tail\n'
