@@ -17,7 +17,7 @@ rows give equal answers; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,6 +103,9 @@ _BLANKS = b" \t\r\n\x0b\x0c"
 _DIGITS = b"0123456789"
 _ALNUM = bytes(b for b in range(128) if chr(b).isalnum())
 _WORD = re.compile(r"\w+")
+_CLOSED = re.compile(r"^(?:/\*.*?\*/\s*)+")
+_RULE = re.compile(r"([^\w\s]{8})[^\w\s]+([^\w\s])")
+_GAP = re.compile(r"\s{9,}")
 
 STATS = (
     "chars int, n_lines int, longest_line int, mean_line double, blank_share double, alnum_share double, number_share double, "
@@ -140,24 +143,42 @@ class UpstreamIndex:
         return best, share
 
 
-def closing_comment(text: str) -> str:
-    """The comment lines a file ends with, as one text."""
-    kept = []
-    for line in text[-2000:].rstrip().split("\n")[:-9:-1]:
-        if line.strip() and not _COMMENT.match(line):
+def _comment_text(lines: Iterable[str], forward: bool) -> str:
+    """The lines up to the first that is code, as one text; lines within a block comment are none, with or without a star.
+
+    Lines without a word are left out, and long rules and gaps cut short, so that patterns take linear time over comments of any length.
+    """
+    kept, inside, lines, mark = [], False, list(lines), "*/" if forward else "/*"
+    last = max((at for at, line in enumerate(lines) if mark in line), default=-1)
+    for at, line in enumerate(lines):
+        told, code_follows = line.strip(), False
+        if inside:
+            if mark in told:
+                inside, code_follows = False, not (told.endswith("*/") if forward else told.startswith("/*"))
+                told = (told[: told.index("*/")] if forward else told[told.rindex("/*") :]) if code_follows else told
+        elif told:
+            block = told.startswith("/*") and "*/" not in told if forward else told.endswith("*/") and "/*" not in told
+            inside = block and at < last
+            rest = _CLOSED.sub("", told)
+            code_follows = rest != told and rest != "" and not _COMMENT.match(rest)
+            if not inside and not _COMMENT.match(line) or code_follows and not forward:
+                break
+            told = told[: len(told) - len(rest)] if code_follows else told
+        if _WORD.search(told):
+            kept.append(_GAP.sub(" " * 8, _RULE.sub(r"\1\2", told)))
+        if code_follows:
             break
-        kept.append(line.rstrip("\r"))
     return "\n".join(kept)
 
 
+def closing_comment(text: str) -> str:
+    """The comment lines a file ends with, from the last, as one text."""
+    return _comment_text(reversed(text.rstrip().split("\n")), False)
+
+
 def leading_comment(text: str) -> str:
     """The comment lines a file begins with, as one text; an opening shebang and blank lines belong to it."""
-    kept = []
-    for line in text[:4000].split("\n")[:25]:
-        if line.strip() and not _COMMENT.match(line):
-            break
-        kept.append(line.rstrip("\r"))
-    return "\n".join(kept)
+    return _comment_text(text.split("\n"), True)
 
 
 def layout(text: str | None, index: UpstreamIndex) -> tuple:
@@ -182,7 +203,7 @@ def layout(text: str | None, index: UpstreamIndex) -> tuple:
         if len(line) > 30 and line.count(" ") * 14 < len(line) and sum(map(line.count, ";{}(),")) * 9 > len(line):
             packed += len(line)
     numbers = sum(map(len, _NUMBER.findall(text))) if digits * 8 > n else 0
-    runs = sum(len(r) for r in _RUN.findall(text) if r[0] == "\\" or len(set(r[:200])) >= RUN_SIGNS) if n > 400 else 0
+    runs = sum(len(r) for r in _RUN.findall(text) if r[0] == "\\" or len(set(r)) >= RUN_SIGNS) if n > 400 else 0
     inserts = len(_INSERT.findall(text)) if "insert" in text.lower() else 0
     pairs = sum(map(len, _PAIRS.findall(text))) if ":" in text and digits * 20 > n and longest > 400 else 0
     head = leading_comment(text)
@@ -202,7 +223,7 @@ def layout(text: str | None, index: UpstreamIndex) -> tuple:
         pairs / n,
         bool(GENERATED_NOTICE.search(_QUOTED.sub("", head)) or GENERATED_NOTICE.search(_QUOTED.sub("", closing_comment(text)))),
         bool(UPSTREAM_NOTICE.search(head)),
-        bool(_COMPILED.search(text[:3000]) or _DESCRIPTOR.search(text)),
+        bool(_COMPILED.search(text) or _DESCRIPTOR.search(text)),
         copied,
         share,
     )

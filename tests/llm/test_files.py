@@ -3,6 +3,7 @@
 import ast
 import json
 import random
+import time
 import tomllib
 
 import pytest
@@ -197,6 +198,26 @@ def test_origins(spark):
     assert generated.classify(files.limit(0), index.limit(0)).count() == 0
 
 
+def test_marks_count_wherever_they_stand():
+    index = generated.UpstreamIndex([])
+    stat = lambda text: dict(zip(generated.STAT_NAMES, generated.layout(text, index)))
+    licence = "".join(f" * clause {n} of a licence that goes on for many a line and says what may be done with it\n" for n in range(120))
+    assert stat(HAND * 4 + "//# sourceMappingURL=a.js.map\n")["tool_form"] and not stat(HAND * 4)["tool_form"]
+    assert stat("/*\n" + licence + " * Code generated by tool 2\n */\n" + HAND)["notice"] and not stat("/*\n" + licence + " */\n" + HAND + "\nx = 'Code generated by tool 2'\n")["notice"]
+    assert stat("/*\n" + licence.replace(" * ", "   ") + "   (c) the widget authors\n*/\n" + HAND)["upstream"]
+    assert stat(HAND + "\n# Code generated by tool 2\n" + licence.replace(" * ", "# "))["notice"]
+    assert stat(HAND + "\n/* Code generated by tool 2\n" + licence.replace(" * ", "  ") + "*/\n")["notice"]
+    run = "A" * 250 + "".join(chr(65 + n % 26) + str(n % 10) for n in range(2000))
+    assert stat(f"x = '{run}'\n")["run_share"] > 0.9 and stat(f"x = '{'A' * 900}'\n")["run_share"] == 0
+
+
+@pytest.mark.parametrize("unit", ["#\n", "# " + "=-" * 60_000 + "\n", "/* \n", "*/\n", "# " + "x" * 100_000 + "\n", "/*! a */x();"])
+def test_long_comments_end_in_time(unit):
+    began = time.process_time()
+    generated.layout(unit * (400_000 // len(unit)), generated.UpstreamIndex([]))
+    assert time.process_time() - began < 10
+
+
 def test_the_index_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(generated, "INDEX_BYTES", 10)
     index = spark.createDataFrame([("w", "1", "w.js", "h", "x" * 11)], "package string, version string, file_name string, content_hash string, content string")
