@@ -4,6 +4,10 @@ The derivative of a language by a token is what may follow that token. Expressio
 object), every one remembers its derivatives by token and by word of tokens, so a stream over familiar ground costs a lookup per line.
 An empty derivative marks the token at fault; a last derivative without the empty word means the text broke off.
 
+A language is kept as alternatives of a first item and what follows it, one alternative per first item: sequences are drawn out of
+alternatives and equal first items share what follows. What is still open in a text (brackets, blocks) so lies behind the first items as a
+shared chain, and a derivative touches the front of it alone, however deep the text nests.
+
 Grammars may be ambiguous but must not be left-recursive; repetition is written ``{ }``.
 """
 
@@ -28,24 +32,31 @@ class Node(dict):
         return self is other
 
     def __missing__(self, token: str) -> Node:
-        kind, table = self.parts[0], self.table
-        if kind == "set":
-            out = table.eps if token in self.parts[1] else table.empty
-        elif kind == "cat":
-            out = table.cat(self.parts[1][token], self.parts[2])
-            if self.parts[1].nullable:
-                out = table.alt((out, self.parts[2][token]))
-        elif kind == "alt":
-            out = table.alt(tuple(x[token] for x in self.parts[1]))
-        elif kind == "star":
-            out = table.cat(self.parts[1][token], self)
-        elif kind == "ref":
-            out = table.bodies[self.parts[1]][token]
-        else:
-            out = table.empty
-        self[token] = out
-        table.made += 1
-        return out
+        return derive(self, token)
+
+
+def derive(node: Node, token: str) -> Node:
+    """The derivative of a language by a token that it does not remember yet; calls itself in Python alone, so the recursion limit is the only limit."""
+    kind, table, parts = node.parts[0], node.table, node.parts
+    if kind == "set":
+        out = table.eps if token in parts[1] else table.empty
+    elif kind == "cat":
+        head, tail = parts[1], parts[2]
+        out = table.cat(head.get(token) or derive(head, token), tail)
+        if head.nullable:
+            out = table.alt((out, tail.get(token) or derive(tail, token)))
+    elif kind == "alt":
+        out = table.alt([x.get(token) or derive(x, token) for x in parts[1]])
+    elif kind == "star":
+        out = table.cat(parts[1].get(token) or derive(parts[1], token), node)
+    elif kind == "ref":
+        body = table.bodies[parts[1]]
+        out = body.get(token) or derive(body, token)
+    else:
+        out = table.empty
+    node[token] = out
+    table.made += 1
+    return out
 
 
 class Grammar:
@@ -159,11 +170,21 @@ class Grammar:
             return tail
         if tail is self.eps:
             return head
-        if head.parts[0] == "cat":
+        kind = head.parts[0]
+        if kind == "star" and (tail is head or tail.parts[0] == "cat" and tail.parts[1] is head):
+            return tail  # repeated twice in a row is repeated
+        if kind == "cat":
             return self.cat(head.parts[1], self.cat(head.parts[2], tail))
+        if kind == "alt":
+            key = ("joined", head, tail)
+            joined = self.known.get(key)
+            if joined is None:
+                joined = self.known[key] = self.alt([self.cat(option, tail) for option in head.parts[1]])
+                self.made += 1
+            return joined
         return self._node(("cat", head, tail), head.nullable and tail.nullable)
 
-    def alt(self, options: tuple) -> Node:
+    def alt(self, options: list | tuple) -> Node:
         flat: set[Node] = set()
         for option in options:
             if option.parts[0] == "alt":
@@ -174,6 +195,16 @@ class Grammar:
             return self.empty
         if len(flat) == 1:
             return flat.pop()
+        rests: dict[Node, list[Node]] = {}
+        for option in flat:
+            if option.parts[0] == "cat":
+                rests.setdefault(option.parts[1], []).append(option.parts[2])
+            else:
+                rests.setdefault(option, []).append(self.eps)
+        if len(rests) < len(flat):
+            flat = {head if tails == [self.eps] else self.cat(head, self.alt(tails)) for head, tails in rests.items()}
+            if len(flat) == 1:
+                return flat.pop()
         return self._node(("alt", frozenset(flat)), any(x.nullable for x in flat))
 
     def word(self, state: Node, tokens: str) -> Node:

@@ -7,14 +7,13 @@ looked through for keys set twice, which no grammar of this kind can see.
 
 Defined results: the language is taken from the end of ``rel_path``, whatever ``language`` and ``extension`` say; null content, null paths
 and other endings have no verdict; an empty file is valid except as JSON; repeated rows give equal answers; texts are
-parsed whole, however long; one too deep for the exact check keeps the verdict of the grammar, and one too deep for the grammar is
-judged by its brackets alone.
+parsed whole, however long and deep; one too deep for the exact check keeps the verdict of the grammar.
 """
 
 from __future__ import annotations
 
 import ast
-import re
+import sys
 import tomllib
 import warnings
 from collections.abc import Iterator
@@ -31,7 +30,7 @@ from packlake.llm.grammars2 import Bash, JavaScript, TypeScript, Yaml
 LANGUAGES = {"py": "Python", "js": "JavaScript", "mjs": "JavaScript", "ts": "TypeScript", "json": "JSON", "yml": "YAML", "yaml": "YAML", "toml": "TOML", "sh": "Shell"}
 _MAKERS = {"Python": Python, "JavaScript": JavaScript, "TypeScript": TypeScript, "JSON": Json, "YAML": Yaml, "TOML": Toml, "Shell": Bash}
 _ENDING = r"\.([A-Za-z]+)$"
-VERDICT = "valid boolean, line int, truncated boolean"
+VERDICT = "valid boolean, line int, truncated boolean, checked boolean"
 
 
 @lru_cache(maxsize=None)
@@ -63,28 +62,27 @@ def _toml_repeats(text: str) -> int | None:
     return None
 
 
-def _brackets_close(text: str) -> bool:
-    """Whether the brackets of a text match, strings and comments left out roughly."""
-    pairs, waiting = {")": "(", "]": "[", "}": "{"}, []
-    for c in re.sub(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|//[^\n]*|#[^\n]*", "", text):
-        if c in "([{":
-            waiting.append(c)
-        elif c in pairs and (not waiting or waiting.pop() != pairs[c]):
-            return False
-    return not waiting
+def parse(language: str, text: str) -> tuple[Verdict, bool]:
+    """The verdict on a text as source of a language, and whether it is that of the exact check behind the grammar."""
+    verdict = read(language, text)
+    if language == "Python" and not verdict.valid and _python_reads(text):
+        return Verdict(True), True
+    if language == "TOML" and verdict.valid and (line := _toml_repeats(text)):
+        return Verdict(False, line), True
+    return verdict, False
 
 
-def parse(language: str, text: str) -> Verdict:
-    """The verdict on a text as source of a language."""
+def read(language: str, text: str) -> Verdict:
+    """The grammar's own verdict; a text of very many optional parts at once may need more room than a worker starts with."""
     try:
-        verdict = parser(language).parse(text)
-    except RecursionError:  # hundreds of open brackets at once: only whether they close is judged
-        verdict = Verdict(_brackets_close(text), None, True)
-    if language == "Python" and not verdict.valid and _python_reads(text):
-        return Verdict(True)
-    if language == "TOML" and verdict.valid and (line := _toml_repeats(text)):
-        return Verdict(False, line)
-    return verdict
+        return parser(language).parse(text)
+    except RecursionError:
+        usual = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(usual, 100 * len(text) + 10_000))  # derivatives nest a few calls a token at most
+        try:
+            return parser(language).parse(text)
+        finally:
+            sys.setrecursionlimit(usual)
 
 
 def true_language(path: Column) -> Column:
@@ -95,7 +93,7 @@ def true_language(path: Column) -> Column:
 
 
 def verdicts(language: Column, content: Column) -> Column:
-    """A struct (valid, line, truncated) of each content; null where language or content are."""
+    """A struct (valid, line, truncated, checked) of each content; null where language or content are."""
 
     @F.pandas_udf(VERDICT)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -103,30 +101,34 @@ def verdicts(language: Column, content: Column) -> Column:
             out = []
             for name, text in zip(languages, contents):
                 if name is None or text is None:
-                    out.append((None, None, None))
+                    out.append((None, None, None, None))
                 else:
-                    v = parse(name, text)
-                    out.append((v.valid, v.line, v.truncated))
-            frame = pd.DataFrame(out, columns=["valid", "line", "truncated"])
-            yield frame.astype({"valid": "boolean", "line": "Int32", "truncated": "boolean"})
+                    v, checked = parse(name, text)
+                    out.append((v.valid, v.line, v.truncated, checked))
+            frame = pd.DataFrame(out, columns=["valid", "line", "truncated", "checked"])
+            yield frame.astype({"valid": "boolean", "line": "Int32", "truncated": "boolean", "checked": "boolean"})
 
     return run(language, content)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """(file_id, repo, rel_path, true_language, valid, line, truncated) of every file of a parsed language with content."""
+    """(file_id, repo, rel_path, true_language, valid, line, truncated, checked) of every file of a parsed language with content.
+
+    ``checked`` tells the files whose verdict comes from the exact check and not from the grammar.
+    """
     known = files.select("file_id", "repo", "rel_path", true_language(F.col("rel_path")).alias("true_language"), "content")
     known = known.where(F.col("true_language").isNotNull() & F.col("content").isNotNull())
     judged = known.withColumn("verdict", verdicts(F.col("true_language"), F.col("content")))
-    return judged.select("file_id", "repo", "rel_path", "true_language", "verdict.valid", "verdict.line", "verdict.truncated")
+    return judged.select("file_id", "repo", "rel_path", "true_language", "verdict.valid", "verdict.line", "verdict.truncated", "verdict.checked")
 
 
 def error_rates(parsed: DataFrame) -> DataFrame:
-    """Files, files in error and files that broke off, per repository and true language."""
+    """Files, files in error, files that broke off and files decided by the exact check, per repository and true language."""
     return parsed.groupBy("repo", "true_language").agg(
         F.count(F.lit(1)).alias("n_files"),
         F.sum((~F.col("valid")).cast("int")).alias("n_errors"),
         F.sum(F.col("truncated").cast("int")).alias("n_truncated"),
+        F.sum(F.col("checked").cast("int")).alias("n_checked"),
         F.round(F.avg((~F.col("valid")).cast("int")), 6).alias("error_rate"),
     )
 

@@ -35,9 +35,9 @@ BAD = {
 @pytest.mark.parametrize("language", sorted(GOOD))
 def test_grammars(language):
     for text in GOOD[language]:
-        assert parsing.parse(language, text).valid, text
+        assert parsing.parse(language, text)[0].valid, text
     for text in BAD[language]:
-        assert not parsing.parse(language, text).valid, text
+        assert not parsing.parse(language, text)[0].valid, text
 
 
 def test_the_grammar_agrees_with_the_readers_of_python():
@@ -69,7 +69,7 @@ def test_the_grammar_agrees_with_the_reader_of_json():
             want = True
         except ValueError:
             want = False
-        assert parsing.parse("JSON", damaged).valid == want, repr(damaged)
+        assert parsing.parse("JSON", damaged)[0].valid == want, repr(damaged)
 
 
 def test_toml_agrees_with_its_reader():
@@ -83,15 +83,15 @@ def test_toml_agrees_with_its_reader():
             want = True
         except tomllib.TOMLDecodeError:
             want = False
-        assert parsing.parse("TOML", damaged).valid == want, repr(damaged)
+        assert parsing.parse("TOML", damaged)[0].valid == want, repr(damaged)
 
 
 def test_where_and_how_a_text_fails():
-    v = parsing.parse("JavaScript", "let a = 1\nlet b = ;\nlet c\n")
+    v = parsing.parse("JavaScript", "let a = 1\nlet b = ;\nlet c\n")[0]
     assert (v.valid, v.line, v.truncated) == (False, 2, False)
-    v = parsing.parse("JavaScript", "function f() {\n  return 1\n")
+    v = parsing.parse("JavaScript", "function f() {\n  return 1\n")[0]
     assert (v.valid, v.truncated) == (False, True)
-    v = parsing.parse("Python", "x = 1\ny = = 2\n")
+    v = parsing.parse("Python", "x = 1\ny = = 2\n")[0]
     assert (v.valid, v.line) == (False, 2)
 
 
@@ -101,8 +101,27 @@ def test_deep_and_odd_texts_end():
         for language in GOOD:
             parsing.parse(language, sign * 3000)
         secrets.find(sign * 3000, "a.py")
-    assert not parsing.parse("JavaScript", "a=(" * 3000).valid
-    assert parsing.parse("JavaScript", "a=(" * 400 + "1" + ")" * 400).valid
+    assert not parsing.parse("JavaScript", "a=(" * 3000)[0].valid
+    assert parsing.parse("JavaScript", "a=(" * 400 + "1" + ")" * 400)[0].valid
+
+
+@pytest.mark.parametrize(("language", "opened", "right", "wrong", "closed"), [
+    ("JavaScript", "a=(", "1", "var 1 2 else", ")"), ("TypeScript", "a=(", "1", "1 1", ")"), ("JSON", "[", "1", "1 1", "]"), ("JavaScript", "{", "", "]", "}"), ("JavaScript", "!", "1", "1 1", ""), ("TOML", "[", "1", "1 1", "]"), ("Shell", "( ", "a", "if", " )"),
+])
+def test_the_grammar_judges_deep_texts(language, opened, right, wrong, closed):
+    """Texts thousands of brackets deep are judged by the grammar: right ones hold, and a wrong one is refused at its line and not as broken off."""
+    deep = 20_000 if language == "JSON" else 3_000
+    before = "a = " if language == "TOML" else ""
+    assert parsing.read(language, before + opened * deep + right + closed * deep).valid
+    v = parsing.read(language, before + opened * deep + wrong + closed * deep)
+    assert (v.valid, v.line, v.truncated) == (False, 1, False)
+    assert not parsing.read(language, before + opened * deep + right).valid or not closed
+
+
+def test_a_grammar_of_many_optional_parts_needs_no_deep_stack():
+    """Derivatives through very many parts that may be missing raise the limit of calls and give an answer."""
+    grammar = Grammar("start = " + " ".join(f"[ '{c}' ]" for c in map(chr, range(0x3400, 0x3500))) + " 'z'\n", {}, {})
+    assert grammar.word(grammar.fresh(), chr(0x34FF) + "z").nullable
 
 
 def test_derivatives_are_remembered_and_bounded():
