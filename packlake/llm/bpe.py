@@ -15,11 +15,13 @@ lone surrogates cannot occur in Spark strings; texts of any length are encoded w
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import regex
+from pyspark import SparkContext, SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,12 +214,21 @@ class EncodedText:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Bpe:
-    """The vocabulary of a worker process, read once."""
-    return Bpe.load(path)
+    """The vocabulary of a worker process, read once: the file sent along with the job, or the one at ``path``."""
+    sent = SparkFiles.get(os.path.basename(path))
+    return Bpe.load(sent if os.path.exists(sent) else path)
+
+
+def ship(path: str) -> None:
+    """Send a vocabulary to all workers, once a session, so that it need not lie on their machines."""
+    context = SparkContext._active_spark_context
+    if context is not None and os.path.basename(path) not in {os.path.basename(known) for known in context.listFiles}:
+        context.addFile(path)
 
 
 def token_ids(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """Ids of a text column."""
+    ship(path)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -230,6 +241,7 @@ def token_ids(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
 
 def token_count(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """Number of ids of a text column, without shipping them."""
+    ship(path)
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -8,7 +8,7 @@ Shards are made by a hash of the document id and hold about ``SHARD_TOKENS`` tok
 task sees a bounded list of integers, and what stays open at the end of a shard is a small, constant share.
 
 Defined results: null and empty texts measure 0 tokens and need no container (container_id null, one row); repeated
-texts are packed each for itself; equal sizes are placed in order of the document id; a null capacity or one below 1 is an error.
+texts are packed each for itself; rows without an id are documents too; equal sizes are placed in order of the document id; a null capacity or one below 1 is an error.
 """
 
 from __future__ import annotations
@@ -69,16 +69,11 @@ def _pack_shard(capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_tokens", "doc_id", "part_no"], ascending=[False, True, True], kind="stable")
         shard = int(rows["shard"].iloc[0])
-        numbers = pack(rows["n_tokens"].tolist(), capacity)
-        return pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"],
-                "part_no": rows["part_no"],
-                "start_token": rows["start_token"],
-                "n_tokens": rows["n_tokens"],
-                "container_id": [f"{shard}-{n}" for n in numbers],
-            }
-        )
+        sizes = rows["n_tokens"].to_numpy()
+        loose = (sizes > 0) & (sizes < capacity)  # a full part is a container already, an empty one needs none
+        names = np.where(sizes > 0, "full-" + rows["doc_id"].astype(str) + "-" + rows["part_no"].astype(str), None).astype(object)
+        names[loose] = [f"{shard}-{n}" for n in pack(sizes[loose].tolist(), capacity)]
+        return pd.DataFrame({"doc_id": rows["doc_id"], "part_no": rows["part_no"], "start_token": rows["start_token"], "n_tokens": rows["n_tokens"], "container_id": names})
 
     return run
 
@@ -96,14 +91,9 @@ def fill_containers(sized: DataFrame, capacity: int, shards: int) -> DataFrame:
         (F.col("part_no") * capacity).cast("int").alias("start_token"),
         F.least(F.lit(capacity), F.col("n_tokens") - F.col("part_no") * capacity).cast("int").alias("n_tokens"),
     )
-    # every part that is packed is below the capacity; full ones are containers already, empty ones need none
-    fixed = parts.where((F.col("n_tokens") == capacity) | (F.col("n_tokens") == 0)).withColumn(
-        "container_id", F.when(F.col("n_tokens") > 0, F.concat_ws("-", F.lit("full"), "doc_id", "part_no"))
-    )
-    loose = parts.where((F.col("n_tokens") < capacity) & (F.col("n_tokens") > 0))
-    loose = loose.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    packed = loose.groupBy("shard").applyInPandas(_pack_shard(capacity), PLACED)
-    return packed.unionByName(fixed)
+    # one group function for all parts, so the texts are read and encoded once; what moves is a few numbers a document
+    parts = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(shards)).cast("int"))
+    return parts.groupBy("shard").applyInPandas(_pack_shard(capacity), PLACED)
 
 
 def pack_documents(documents: DataFrame, capacity: int, path: str = DEFAULT_VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

@@ -113,8 +113,7 @@ def test_containers(spark):
 
 def brute_cost(data, limit, overlap, symbol_lines):
     """The least cost over all chains of boundaries, by plain recursion over positions."""
-    at, penalty = splitting.boundaries(data, symbol_lines, max(4, limit - min(overlap, limit // 2) - 4))
-    overlap = min(overlap, limit // 2)
+    at, penalty = splitting.boundaries(data, symbol_lines, max(4, limit - overlap - 4))
     n = len(data)
     ends, costs = [*at.tolist(), n], [*penalty.tolist(), 0.0]
     pieces = max(2, -(-(n - overlap) // max(1, limit - overlap)))
@@ -132,19 +131,18 @@ def brute_cost(data, limit, overlap, symbol_lines):
 
 
 def cost_of(data, pieces, limit, overlap):
-    overlap = min(overlap, limit // 2)
     count = max(2, -(-(len(data) - overlap) // max(1, limit - overlap)))
     ideal = (len(data) + (count - 1) * overlap) / count
     return sum(((e - s - ideal) / ideal) ** 2 + p + 0.05 for s, e, p in pieces)
 
 
-def check_pieces(data, pieces, limit, overlap):
+def check_pieces(data, pieces, limit, overlap, slack=0):
     covered = 0
     for n, (start, end, _) in enumerate(pieces):
         assert start <= covered < end and end - start <= limit
         data[start:end].decode("utf-8")
         if n:
-            assert min(overlap, limit // 2) <= covered - start <= min(overlap, limit // 2) + 3
+            assert overlap - slack <= covered - start <= overlap + 3
         covered = end
     assert covered == len(data)
 
@@ -170,6 +168,36 @@ def test_cuts_without_boundaries():
         check_pieces(data, pieces, 256, 32)
 
 
+def test_every_overlap_below_the_limit_is_kept():
+    for data in (b"word and more words\n" * 60, b"x" * 700, ("\u6f22" * 300).encode(), ("\U0001f600" * 200).encode()):
+        for limit, overlap in ((100, 0), (100, 50), (100, 60), (100, 80), (100, 90), (100, 99), (9, 5), (4, 0)):
+            wide = max(len(c.encode()) for c in data.decode())
+            check_pieces(data, splitting.cut(data, limit, overlap), limit, overlap, 0 if wide == 1 else 3 if limit - overlap >= wide + 3 else 4)
+    for limit, overlap in ((100, 100), (100, 140), (3, 0)):
+        with pytest.raises(ValueError, match="no pieces"):
+            splitting.cut(b"x" * 500, limit, overlap)
+
+
+def test_what_the_grid_of_characters_costs():
+    """Characters offered at a grid make the chain at most 1 % dearer than every character would."""
+    rng = random.Random(9)
+    for _ in range(12):
+        data = "".join(rng.choice("abc\u00e9 ") if rng.random() < 0.3 else rng.choice("xyz") for _ in range(rng.randrange(900, 2500))).replace(" ", "" if rng.random() < 0.5 else " ").encode()
+        limit, overlap = rng.randrange(250, 500), rng.randrange(0, 60)
+        on_grid, all_of_them = splitting.cut(data, limit, overlap), splitting.cut(data, limit, overlap, grid=10**6)
+        assert cost_of(data, on_grid, limit, overlap) <= 1.01 * cost_of(data, all_of_them, limit, overlap)
+
+
+def test_many_limits_are_joined(spark, monkeypatch):
+    limits = spark.createDataFrame([("split", "full", 40, 8), ("split", "other", 20, 4)], "use_case string, kind string, max_size int, overlap_size int")
+    items = spark.createDataFrame([(1, 7, "full", "x" * 50), (2, 7, "odd", "y" * 50), (None, 7, "full", "z" * 50), (None, 7, "full", "w" * 50)], "result_id long, file_id long, kind string, content string")
+    symbols = spark.createDataFrame([], "file_id long, start_line int, end_line int")
+    few = sorted(map(str, splitting.split_oversized(items, limits, symbols).collect()))
+    monkeypatch.setattr(splitting, "LIMIT_ROWS", 1)
+    assert sorted(map(str, splitting.split_oversized(items, limits, symbols).collect())) == few
+    assert sum("piece_no=1," in row for row in few) == 4
+
+
 def test_splitting(spark):
     limits = spark.createDataFrame([("split", "Full ", "byte", 40, 8), ("split", "other", "byte", 20, 4), ("fill", "window", "token", 9, 0)], "use_case string, kind string, unit string, max_size int, overlap_size int")
     long = "\n".join(f"line {n}" for n in range(12))
