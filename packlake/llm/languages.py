@@ -10,7 +10,9 @@ The model has a fixed size (``BUCKETS`` times the number of languages) and trave
 
 Defined results: null, empty and blank texts, code, tables and single words have no segments and keep their usable label with the
 prior as confidence; ties go to the first language in order; labels are read in any notation listed, others name none; repeated rows get equal answers;
-texts are read whole; a null source, kind or path is a host of its own or no evidence.
+texts are read whole; a null source, kind or path is a host of its own or no evidence; a host without a label takes the prior of its collection.
+Sentences below ``SURE`` join the segment before them if their evidence together keeps its language, and else are segments with the low
+confidence they have; a segment tells how many of its sentences are sure (``n_sure``), and only languages of sure sentences count as found.
 """
 
 from __future__ import annotations
@@ -18,13 +20,17 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from math import exp
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packlake.session import checkpointed
+
 # The languages told apart, with the names and codes that labels use for them.
 LABELS = {
     "de": "de deu ger german deutsch allemand alemán tedesco duits tyska niemiecki немецкий",
@@ -54,6 +60,10 @@ FREQUENT = {
 }
 SAMPLE_ROWS = 20_000
 BUCKETS = 1 << 16
+#: Hosts whose priors are broadcast at most; the priors of more are joined with a shuffle.
+BROADCAST_HOSTS = 100_000
+#: Words a worker remembers the evidence of.
+REMEMBERED = 100_000
 #: Words a sentence has at least, and the confidence from which it counts.
 SENTENCE_WORDS, SURE = 3, 0.95
 #: How far a label is trusted, how far a language suffix, and rows that a parent's prior weighs as.
@@ -68,6 +78,9 @@ _HEADING = re.compile(r"^\s*#{1,6}\s")
 _DROP = re.compile(
     r"`[^`\n]*`|\(\s*[\"“'«][^\"”'»()]*[\"”'»]\s*\)|<[^<>\n]{1,80}>|https?://\S+|(?<!\w)--?[\w-]+|(?<![\w.-])[\w.-]*[/\\][\w./\\-]*\w|\b\w+\(\)?|\b\w*_\w*|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z0-9]+[A-Z]\w*|(?<![\w-])[\w-]+\.(?:py|md|ts|js|json|ya?ml|toml|sh|go|sql|css|mjs)\b"
 )
+#: A sign that something of ``_DROP`` may be there.
+_SUSPECT = re.compile(r"[`(<_/\\]|[a-z0-9][A-Z]|[\w-]\.[a-z]|(?<!\w)-[\w-]")
+_LINE = re.compile("[^\n\r\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])|[^\n\r\x0b\x0c\x85\u2028\u2029]+")
 _STOP = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+|(?<=[.!?…])$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _ENDS = re.compile(r"[.!?…]['\"”»)\]]*\s*$")
@@ -91,14 +104,15 @@ def suffix_language(path: Column) -> Column:
 
 def prose_of(line: str) -> str:
     """A line without code words, paths, quoted terms, emoji and invisible characters."""
-    return _DROP.sub(" ", _ODD.sub("", line))
+    line = line if line.isascii() else _ODD.sub("", line)
+    return _DROP.sub(" ", line) if _SUSPECT.search(line) else line
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences of prose in a text; code gives only the sentences in its comments."""
     fenced = False
     at = 0
-    for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0b\x0c\x85  ])", text):
+    for line in _LINE.findall(text):
         start, at = at, at + len(line)
         if _FENCE.match(line):
             fenced = not fenced
@@ -121,7 +135,8 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
             piece = body[pos:part]
             if piece.strip():
                 clean = prose_of(piece)
-                words = _WORD.findall(unicodedata.normalize("NFC", clean.lower()))
+                small = clean.lower()
+                words = _WORD.findall(small if small.isascii() else unicodedata.normalize("NFC", small))
                 letters = sum(map(len, words))
                 whole = bool(_ENDS.search(piece))
                 signs = len(_CODE.findall(clean))
@@ -153,7 +168,18 @@ class Model:
                 for b in three:
                     seen_triples[b, n] += 2
         self.words, self.triples = self._log(seen_words, 0.02), self._log(seen_triples, 0.05)
-        self._cache: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self._row: dict[str, int] = {}
+        self._rows = np.zeros((0, len(LANGUAGES)), dtype=np.float32)
+
+    def __getstate__(self) -> tuple:
+        return self.words, self.triples
+
+    def __setstate__(self, state: tuple) -> None:
+        self.words, self.triples = state
+        self.forget()
 
     @staticmethod
     def _log(counts: np.ndarray, floor: float) -> np.ndarray:
@@ -162,91 +188,109 @@ class Model:
         return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
     def score(self, words: list[str]) -> np.ndarray:
-        total = np.zeros(len(LANGUAGES), dtype=np.float32)
-        for word in words:
-            found = self._cache.get(word)
-            if found is None:
-                one, three = buckets_of(word)
-                found = self.words[one] + TRIPLE_WEIGHT * self.triples[three].sum(axis=0) / max(1.0, len(three) / 4)
-                if len(self._cache) > 200_000:
-                    self._cache.clear()
-                self._cache[word] = found
-            total += found
-        return total
-
-
-def _counts(rows: DataFrame, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of words and triples by language over labelled texts; labels are of the row, or of each sentence where a model is given."""
+        places = self.places(words)  # may make new rows
+        return self._rows[places].sum(axis=0)
+
+    def places(self, words: list[str]) -> list[int]:
+        """The rows of ``_rows`` that hold the evidence of the words."""
+        try:
+            return [self._row[word] for word in words]
+        except KeyError:
+            if len(self._row) > REMEMBERED:
+                self.forget()
+            for word in words:
+                if word not in self._row:
+                    place = self._row[word] = len(self._row)
+                    if place >= len(self._rows):
+                        self._rows = np.concatenate([self._rows, np.zeros((max(1024, len(self._rows)), len(LANGUAGES)), dtype=np.float32)])
+                    one, three = buckets_of(word)
+                    self._rows[place] = self.words[one] + TRIPLE_WEIGHT * self.triples[three].sum(axis=0) / max(1.0, len(three) / 4)
+            return [self._row[word] for word in words]
+
+
+def _split_labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sentences of labelled texts, as words."""
+    for batch in batches:
+        found = [(label, words) for text, label in zip(batch["text"], batch["label"]) for _, _, words in sentences(text)]
+        yield pd.DataFrame(found, columns=["label", "words"])
+
+
+def _counts(split: DataFrame, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of words and triples by language over labelled sentences; labels are of the row, or of each sentence where a model is given."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = np.zeros((BUCKETS, len(LANGUAGES)))
-        triples = np.zeros((BUCKETS, len(LANGUAGES)))
+        tables = np.zeros((2, BUCKETS, len(LANGUAGES)))
         order = {name: n for n, name in enumerate(LANGUAGES)}
-        cache: dict[str, tuple[int, list[int]]] = {}
+        seen: Counter = Counter()
+
+        def settle() -> None:
+            for (word, n), times in seen.items():
+                one, three = buckets_of(word)
+                tables[0, one, n] += times
+                for b in three:
+                    tables[1, b, n] += times
+            seen.clear()
+
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"]):
-                for _, _, found in sentences(text):
-                    n = order[label]
-                    if model is not None:
-                        score = model.score(found)
-                        score[n] += 3.0  # the label is evidence too
-                        n = int(score.argmax())
-                    for word in found:
-                        places = cache.get(word)
-                        if places is None:
-                            places = cache[word] = buckets_of(word)
-                            if len(cache) > 200_000:
-                                cache.clear()
-                        words[places[0], n] += 1
-                        for b in places[1]:
-                            triples[b, n] += 1
-        for kind, table in ((0, words), (1, triples)):
-            b, n = np.nonzero(table)
-            yield pd.DataFrame({"kind": np.full(len(b), kind, dtype="int32"), "bucket": b.astype("int32"), "lang_no": n.astype("int32"), "n": table[b, n]})
+            for label, words in zip(batch["label"], batch["words"]):
+                n, words = order[label], list(words)
+                if model is not None:
+                    score = model.score(words)
+                    score[n] += 3.0  # the label is evidence too
+                    n = int(score.argmax())
+                seen.update([(word, n) for word in words])
+            if len(seen) > REMEMBERED:
+                settle()
+        settle()
+        kind, b, n = np.nonzero(tables)
+        yield pd.DataFrame({"kind": kind.astype("int32"), "bucket": b.astype("int32"), "lang_no": n.astype("int32"), "n": tables[kind, b, n]})
 
     # at most two tables of BUCKETS rows per language reach the driver, whatever the corpus
-    found = rows.mapInPandas(count, "kind int, bucket int, lang_no int, n double").groupBy("kind", "bucket", "lang_no").agg(F.sum("n").alias("n")).toPandas()
-    out = []
-    for kind in (0, 1):
-        table = np.zeros((BUCKETS, len(LANGUAGES)))
-        part = found[found["kind"] == kind]
-        np.add.at(table, (part["bucket"].to_numpy(), part["lang_no"].to_numpy()), part["n"].to_numpy())
-        out.append(table)
-    return out[0], out[1]
-
-
-def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most about ``sample_rows`` labelled rows of (doc_id, text, lang), chosen by a hash of the id."""
+    found = split.mapInPandas(count, "kind int, bucket int, lang_no int, n double").groupBy("kind", "bucket", "lang_no").agg(F.sum("n").alias("n")).toPandas()
+    tables = np.zeros((2, BUCKETS, len(LANGUAGES)))
+    tables[found["kind"].to_numpy(), found["bucket"].to_numpy(), found["lang_no"].to_numpy()] = found["n"].to_numpy()
+    return tables[0], tables[1]
+
+
+def host_counts(documents: DataFrame) -> DataFrame:
+    """Labelled rows by language of every collection and kind (level 0), every collection (1) and all documents (3): one pass over all rows, kept."""
+    held = documents.select("source", "doc_kind", usable_label(F.col("lang")).alias("label"))
+    counts = [F.count_if(F.col("label") == name).cast("double").alias(name) for name in LANGUAGES]
+    return checkpointed(held.rollup("source", "doc_kind").agg(F.grouping_id().alias("level"), *counts))
+
+
+def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, counts: DataFrame | None = None) -> Model:
+    """A model from at most about ``sample_rows`` labelled rows of (doc_id, text, lang), chosen by a hash of the id; their sentences are split once."""
     labelled = documents.select("doc_id", "text", usable_label(F.col("lang")).alias("label")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    total = documents.where(F.col("lang").isNotNull()).count()
+    every = (host_counts(documents) if counts is None else counts).where("level = 3").first()
+    total = sum(every[x] for x in LANGUAGES) if every else 0
     if total > sample_rows:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / total))
-    first = Model(*_counts(labelled, None))
-    return Model(*_counts(labelled, first))
+    split = checkpointed(labelled.mapInPandas(_split_labelled, "label string, words array<string>"))
+    first = Model(*_counts(split, None))
+    return Model(*_counts(split, first))
 
 
-def host_priors(documents: DataFrame) -> DataFrame:
-    """(source, doc_kind, host_prior): log priors of each host's languages, smoothed towards the collection's and those towards all documents'."""
-    held = documents.select("source", "doc_kind", usable_label(F.col("lang")).alias("label")).where(F.col("label").isNotNull())
-    counts = [F.sum((F.col("label") == name).cast("int")).cast("double").alias(name) for name in LANGUAGES]
-    rates = lambda row, parent: [f"({row}.{x} + {PARENT_ROWS} * {parent}.{x}) / ({row}.total + {PARENT_ROWS}) AS {x}" for x in LANGUAGES]
-    summed = " + ".join(LANGUAGES)
-    every = held.agg(*counts).first()  # one row of counts
-    total = sum(x or 0.0 for x in every)
-    share = {x: ((every[x] or 0.0) + 1) / (total + len(LANGUAGES)) for x in LANGUAGES}
-    source = held.groupBy("source").agg(*counts).selectExpr("*", f"{summed} AS total")
-    source = source.select("source", *[((F.col(x) + PARENT_ROWS * share[x]) / (F.col("total") + PARENT_ROWS)).alias(x) for x in LANGUAGES])
-    kind = held.groupBy("source", "doc_kind").agg(*counts).selectExpr("*", f"{summed} AS total").alias("k")
-    joined = kind.join(source.alias("p"), F.col("k.source").eqNullSafe(F.col("p.source"))).selectExpr("k.source", "k.doc_kind", *rates("k", "p"))
-    return joined.select("source", "doc_kind", F.array(*[F.log(F.col(x)) for x in LANGUAGES]).alias("host_prior"))
+def host_priors(counts: DataFrame) -> DataFrame:
+    """(host_source, host_kind, host_prior): log priors of each host's languages, smoothed towards the collection's and those towards all documents'."""
+    every = counts.where("level = 3").first()
+    total = sum(every[x] for x in LANGUAGES) if every else 0.0
+    share = {x: ((every[x] if every else 0.0) + 1) / (total + len(LANGUAGES)) for x in LANGUAGES}
+    smoothed = lambda own, weight: ((own + PARENT_ROWS * weight) / (F.col("total") + PARENT_ROWS))
+    summed = counts.withColumn("total", sum(F.col(x) for x in LANGUAGES))
+    source = summed.where("level = 1").select(F.col("source").alias("parent"), *[smoothed(F.col(x), F.lit(share[x])).alias(f"of_{x}") for x in LANGUAGES])
+    joined = summed.where("level = 0").join(source, F.col("source").eqNullSafe(F.col("parent")))
+    return joined.select(F.col("source").alias("host_source"), F.col("doc_kind").alias("host_kind"), F.array(*[F.log(smoothed(F.col(x), F.col(f"of_{x}"))) for x in LANGUAGES]).alias("host_prior"))
 
 
-SEGMENTS = "array<struct<start:int,end:int,n_sentences:int,lang:string,confidence:double>>"
+SEGMENTS = "array<struct<start:int,end:int,n_sentences:int,n_sure:int,lang:string,confidence:double>>"
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max())
-    return e / e.sum()
+def _best(evidence: np.ndarray) -> tuple[int, float]:
+    """The likeliest language and its probability; the first of equals."""
+    logs = evidence.tolist()
+    top = max(logs)
+    return logs.index(top), 1.0 / sum(exp(x - top) for x in logs)
 
 
 def segment(text: str, model: Model, prior: np.ndarray) -> list[dict]:
@@ -255,20 +299,25 @@ def segment(text: str, model: Model, prior: np.ndarray) -> list[dict]:
     scores: list[np.ndarray] = []
     for start, end, words in sentences(text):
         score = model.score(words)
-        chance = _softmax(score + prior)
-        n = int(chance.argmax())
-        if chance[n] < SURE:
-            continue
+        n, chance = _best(score + prior)
+        sure = int(chance >= SURE)
+        if not sure and out:
+            joined, _ = _best(scores[-1] + score + prior)
+            n = joined if LANGUAGES[joined] == out[-1]["lang"] else n
         lang = LANGUAGES[n]
         if out and out[-1]["lang"] == lang:
             out[-1]["end"] = end
             out[-1]["n_sentences"] += 1
+            out[-1]["n_sure"] += sure
             scores[-1] = scores[-1] + score
         else:
-            out.append({"start": start, "end": end, "n_sentences": 1, "lang": lang, "confidence": 0.0})
+            out.append({"start": start, "end": end, "n_sentences": 1, "n_sure": sure, "lang": lang, "confidence": 0.0})
             scores.append(score)
+    order = {name: n for n, name in enumerate(LANGUAGES)}
     for piece, score in zip(out, scores):
-        piece["confidence"] = float(_softmax(score + prior).max())
+        evidence = score + prior
+        top = float(evidence.max())
+        piece["confidence"] = exp(float(evidence[order[piece["lang"]]]) - top) / sum(exp(x - top) for x in evidence.tolist())
     return out
 
 
@@ -297,10 +346,13 @@ def _segments(model: Model):
     return run
 
 
-def label_documents(documents: DataFrame, model: Model) -> DataFrame:
+def label_documents(documents: DataFrame, model: Model, counts: DataFrame | None = None) -> DataFrame:
     """(doc_id, label, segments) of every row; the prior of the host and of the label are part of the evidence of each sentence."""
     rows = documents.select("doc_id", "text", "source", "doc_kind", usable_label(F.col("lang")).alias("label"), suffix_language(F.col("rel_path")).alias("suffix"))
-    priors = host_priors(documents).withColumnsRenamed({"source": "host_source", "doc_kind": "host_kind"})
+    counts = host_counts(documents) if counts is None else counts
+    priors = host_priors(counts)
+    if counts.count() <= BROADCAST_HOSTS:  # else texts move to their host's prior, and the planner splits hosts that are too large
+        priors = F.broadcast(priors)
     joined = rows.join(priors, F.col("source").eqNullSafe(F.col("host_source")) & F.col("doc_kind").eqNullSafe(F.col("host_kind")), "left")
     return joined.select("doc_id", "label", "host_prior", _segments(model)("text", "label", "suffix", "host_prior").alias("segments"))
 
@@ -324,10 +376,10 @@ def document_languages(labelled: DataFrame) -> DataFrame:
 
 def unnamed_languages(labelled: DataFrame) -> DataFrame:
     """(doc_id, lang): languages a document has a full sentence in and its label does not name."""
-    found = labelled.select("doc_id", "label", F.explode(F.array_distinct(F.col("segments.lang"))).alias("lang"))
+    found = labelled.select("doc_id", "label", F.explode(F.array_distinct(F.filter("segments", lambda s: s["n_sure"] > 0)["lang"])).alias("lang"))
     return found.where(F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("doc_id", "lang").distinct()
 
 
 def segments_of(labelled: DataFrame) -> DataFrame:
-    """(doc_id, start, end, n_sentences, lang, confidence): one row per segment, character offsets."""
-    return labelled.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.start", "s.end", "s.n_sentences", "s.lang", "s.confidence")
+    """(doc_id, start, end, n_sentences, n_sure, lang, confidence): one row per segment, character offsets."""
+    return labelled.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.start", "s.end", "s.n_sentences", "s.n_sure", "s.lang", "s.confidence")

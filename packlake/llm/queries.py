@@ -93,8 +93,9 @@ def p7_fill(spark, sf_dir):
 
 def _labelled(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "doc_kind", "rel_path")
+    counts = languages.host_counts(documents)
     documents = spread(documents)
-    return languages.label_documents(documents, languages.fit(documents))
+    return languages.label_documents(documents, languages.fit(documents, counts=counts), counts)
 
 
 def p8_found(spark, sf_dir):
