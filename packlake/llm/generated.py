@@ -1,17 +1,17 @@
 """Generated, minified, vendored and data files among source files (problem 5).
 
 Method: thresholds on layout statistics, tuned per language: longest and mean line, white-space share, alphanumeric share,
-density of numeric literals and the share of long encoded runs. Beside them stand what layout cannot show: the notice a
-generator leaves in the leading comment, file names and forms only tools write (lock files, source maps, compiled modules), and
-copies of upstream files, by five-word shingles against the index of known files, by the notice of their authors, or by
-a directory that holds other people's code.
+density of numeric literals and the share of long encoded runs. Beside them stand what layout cannot show: copies of upstream files, by
+five-word shingles against the index of known files, the notice a generator or the authors of other people's code leave in the first or last comment, forms
+only tools write (compiled modules, descriptors), and names and directories. ``reason`` tells which of these a file is classed by, layout
+first, and ``reasons`` all that hold, so what each adds can be counted.
 
-The index of upstream files is a small fixed table; its shingles go to the workers with the function, and its size is
-checked (``INDEX_BYTES``) before that; a larger index takes the equi-join on shingles instead.
+Every file is compared with the index by all its shingles. An index of up to ``INDEX_BYTES`` goes to the workers with the function;
+a larger one is met in an equi-join on shingles.
 
 Defined results: null or empty content has no layout and is judged by its path alone; ``size`` and ``line_count`` are recorded wrongly
-at times and only taken for content that is missing; a null path is judged by content with the default thresholds; repeated
-rows give equal answers; extra columns are ignored.
+at times and only taken for content that is missing; a null path is judged by content with the default thresholds; a file of fewer than
+``COPY_SHINGLES`` shingles is a copy if its words are those of an index file; repeated rows give equal answers; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,6 @@ COPY_SHARE = 0.8
 COPY_SHINGLES = 15
 #: Words of a shingle.
 WORDS = 5
-#: Share of lines known from the index at which the shingles are compared; copies keep most of their lines.
-LINE_SHARE = 0.15
-
 # Words of the notices that tools write into the files they make.
 GENERATED_NOTICE = re.compile(
     r"""(?imx)
@@ -80,8 +78,12 @@ TOOL_NAME = (
 
 #: Per language: longest line, mean line, and the white-space share below which long lines mean minified code.
 MINIFIED = {"js": (200, 70, 0.10), "css": (200, 70, 0.08), "json": (2000, 400, 0.03), "default": (400, 120, 0.10)}
-#: Per language: share of characters in numeric literals, and in encoded runs, that makes a file data.
-DATA = {"js": (0.30, 0.65), "py": (0.30, 0.65), "go": (0.30, 0.65), "sql": (0.30, 0.65), "json": (0.55, 0.65), "css": (0.45, 0.65), "default": (0.45, 0.65)}
+#: Per language: share of characters in numeric literals, in encoded runs, and of letters and digits, that makes a file data.
+DATA = {
+    "js": (0.30, 0.65, 0.90), "py": (0.30, 0.65, 0.90), "go": (0.30, 0.65, 0.90), "sql": (0.30, 0.65, 0.90), "json": (0.55, 0.65, 0.93), "css": (0.45, 0.65, 0.93), "default": (0.45, 0.65, 0.93),
+}
+#: White space below which, and encoded runs from which, a text of letters and digits means encoded data.
+ENCODED_BLANKS, ENCODED_RUNS = 0.06, 0.3
 #: Languages that are prose or settings, where long lines and values are written by hand.
 PROSE = {"md", "rst", "txt", "env", "local", "example"}
 #: Data below this many characters is a hand-kept table.
@@ -114,33 +116,58 @@ STATS = (
 STAT_NAMES = [part.strip().split(" ")[0] for part in STATS.split(",")]
 
 
-def shingles(text: str) -> set[int]:
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+
+
+def shingles(text: str) -> np.ndarray:
+    """Hashes of the runs of ``WORDS`` words, in order; they hold within a process."""
     words = _WORD.findall(text)
-    return {hash(tuple(words[i : i + WORDS])) for i in range(len(words) - WORDS + 1)}
+    if len(words) < WORDS:
+        return np.zeros(0, dtype=np.uint64)
+    hashed = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
+    n = len(words) - WORDS + 1
+    out = hashed[:n] * _MIX[0]
+    for k in range(1, WORDS):
+        out ^= out >> np.uint64(29)
+        out = (out + hashed[k : n + k]) * _MIX[k]
+    return out
+
+
+def words_of(text: str) -> int:
+    """A hash of all words of a text in order."""
+    return hash(tuple(_WORD.findall(text)))
 
 
 class UpstreamIndex:
-    """Known upstream files: lines for a first look, shingles for the answer."""
+    """Known upstream files by their shingles; those too short for that by all their words."""
 
     def __init__(self, files: list[tuple[str, str]]):
-        self.files = [(name, shingles(content)) for name, content in files]
-        self.lines = {line for _, content in files for line in map(str.strip, content.split("\n")) if len(line) > 8}
-
-    def copy_of(self, text: str, stripped: list[str]) -> tuple[str | None, float]:
+        self.names = [name for name, _ in files]
+        sets = [np.unique(shingles(content)) for _, content in files]
+        self.sizes = np.array([len(x) for x in sets])
+        self.known = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]))
+        self.held = np.array([np.isin(self.known, x) for x in sets]).reshape(len(sets), len(self.known))  # bounded by INDEX_BYTES
+        self.seen = np.zeros(1 << 16, dtype=bool)
+        self.seen[(self.known >> np.uint64(48)).astype(np.int64)] = True
+        self.short = {words_of(content): name for name, content in files if _WORD.search(content)}
+
+    def copy_of(self, text: str) -> tuple[str | None, float]:
         """The upstream file that ``text`` is a copy of, and the larger share of shingles in common."""
-        known = sum(map(self.lines.__contains__, stripped))
-        if known < LINE_SHARE * len(stripped) or not known:
-            return None, 0.0
         own = shingles(text)
         if len(own) < COPY_SHINGLES:
+            name = self.short.get(words_of(text))
+            return (name, 1.0) if name is not None else (None, 0.0)
+        hits = own[self.seen[(own >> np.uint64(48)).astype(np.int64)]]
+        if len(hits) < COPY_SHARE * COPY_SHINGLES:
             return None, 0.0
-        best, share = None, 0.0
-        for name, theirs in self.files:
-            common = len(own & theirs)
-            found = common / max(1, min(len(own), len(theirs)))
-            if found > share:
-                best, share = name, found
-        return best, share
+        common = np.isin(self.known, hits)
+        if np.count_nonzero(common) < COPY_SHARE * COPY_SHINGLES:  # too few for any file of the index
+            return None, 0.0
+        n_own = len(np.unique(own))
+        shares = self.held[:, common].sum(axis=1) / np.maximum(1, np.minimum(n_own, self.sizes))
+        shares[np.minimum(n_own, self.sizes) < COPY_SHINGLES] = 0.0
+        best = int(np.argmax(shares))
+        return (self.names[best], float(shares[best])) if shares[best] > 0 else (None, 0.0)
 
 
 def _comment_text(lines: Iterable[str], forward: bool) -> str:
@@ -207,7 +234,7 @@ def layout(text: str | None, index: UpstreamIndex) -> tuple:
     inserts = len(_INSERT.findall(text)) if "insert" in text.lower() else 0
     pairs = sum(map(len, _PAIRS.findall(text))) if ":" in text and digits * 20 > n and longest > 400 else 0
     head = leading_comment(text)
-    copied, share = index.copy_of(text, stripped)
+    copied, share = index.copy_of(text)
     return (
         n,
         len(lines),
@@ -241,14 +268,49 @@ def layout_stats(content: Column, index: list[tuple[str, str]]) -> Column:
     return measure(content)
 
 
-def upstream_files(vendor_index: DataFrame) -> list[tuple[str, str]]:
-    """The index of known upstream files for the function, after a check of its size."""
+def upstream_files(vendor_index: DataFrame) -> list[tuple[str, str]] | None:
+    """The index of known upstream files for the function; None if it is too large to go with it."""
     held = vendor_index.where(F.col("content").isNotNull())
     size = held.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     if size > INDEX_BYTES:
-        raise ValueError(f"the index of upstream files has {size} bytes; up to {INDEX_BYTES} can go to the workers")
-    rows = held.select("package", "version", "content").collect()  # bounded by the check above
-    return sorted((f"{r.package or ''} {r.version or ''}".strip(), r.content) for r in rows)
+        return None
+    rows = held.select(_upstream_name().alias("name"), "content").collect()  # bounded by the check above
+    return sorted((r["name"], r["content"]) for r in rows)
+
+
+def _upstream_name() -> Column:
+    return F.trim(F.concat_ws(" ", F.coalesce("package", F.lit("")), F.coalesce("version", F.lit(""))))
+
+
+def _shingle_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, shingle): the different shingles of each content as hashes, and their number; a short content has one, of all its words."""
+    words = F.regexp_extract_all("content", F.lit(r"(?U)\w+"), 0)
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - (WORDS - 1)), lambda i: F.xxhash64(F.slice("words", i, F.lit(WORDS))))
+    whole = F.array(F.xxhash64(F.lit("whole"), "words"))
+    found = rows.select(*keys, words.alias("words")).where(F.size("words") > 0)
+    short = F.size("words") < COPY_SHINGLES + WORDS - 1
+    found = found.select(*keys, F.when(short, whole).otherwise(F.array_distinct(runs)).alias("all"), F.when(short, whole).otherwise(F.array_append(F.array_distinct(runs), whole[0])).alias("with_whole"))
+    return found.select(*keys, F.size("all").alias("n"), F.col("with_whole").alias("all"))
+
+
+def copies_by_join(files: DataFrame, vendor_index: DataFrame) -> DataFrame:
+    """(file_id, copied_from, copy_share) of files that share shingles with an index of any size, by an equi-join.
+
+    Index files that hold the same shingles are one group per shingle, so a notice that thousands of them share makes one row and not thousands;
+    counts are taken per file and group before the groups are opened.
+    """
+    index = _shingle_rows(vendor_index.where(F.col("content").isNotNull()).select(_upstream_name().alias("name"), "content"), "name")
+    sizes = index.groupBy("name").agg(F.max("n").alias("n_theirs"))
+    holders = index.select("name", F.explode("all").alias("shingle")).groupBy("shingle").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    own = _shingle_rows(files.where(F.col("content").isNotNull()).select("file_id", "content"), "file_id").dropDuplicates(["file_id"])
+    met = own.select("file_id", "n", F.explode("all").alias("shingle")).join(holders, "shingle")
+    grouped = met.groupBy("file_id", "n", "names").agg(F.count(F.lit(1)).alias("common"))
+    counted = grouped.select("file_id", "n", "common", F.explode("names").alias("name")).groupBy("file_id", "n", "name").agg(F.sum("common").alias("common"))
+    least = F.least("n", "n_theirs")
+    share = F.when((least >= COPY_SHINGLES) | (F.col("n") == F.col("n_theirs")), F.least(F.lit(1.0), F.col("common") / least)).otherwise(0.0)
+    shares = counted.join(sizes, "name").withColumn("share", share).where("share > 0")
+    best = shares.groupBy("file_id").agg(F.max(F.struct("share", "name")).alias("best"))
+    return best.select("file_id", F.col("best.name").alias("copied_from"), F.col("best.share").alias("copy_share"))
 
 
 def _by_language(table: dict, position: int, language: Column) -> Column:
@@ -260,12 +322,17 @@ def _by_language(table: dict, position: int, language: Column) -> Column:
 
 
 def classify(files: DataFrame, vendor_index: DataFrame) -> DataFrame:
-    """``files`` (file_id, repo, rel_path) with its layout statistics and ``origin``: generated, minified, vendored, data or written."""
+    """``files`` (file_id, repo, rel_path) with its layout statistics, ``origin`` (generated, minified, vendored, data or written), ``reasons`` and the first of them as ``reason``."""
     path = F.regexp_replace(F.coalesce("rel_path", F.lit("")), r"\\", "/")
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     language = F.when(ext.isin("js", "mjs", "cjs", "ts", "tsx", "jsx"), "js").otherwise(ext)
     prose = language.isin(*sorted(PROSE))
-    s = files.select("file_id", "repo", "rel_path", path.alias("_path"), language.alias("_language"), layout_stats(F.col("content"), upstream_files(vendor_index)).alias("stat"))
+    index = upstream_files(vendor_index)
+    stats = layout_stats(F.col("content"), index or [])
+    s = files.select("file_id", "repo", "rel_path", path.alias("_path"), language.alias("_language"), stats.alias("stat"))
+    if index is None:
+        s = s.join(copies_by_join(files, vendor_index), "file_id", "left")
+        s = s.withColumn("stat", F.col("stat").withField("copied_from", F.col("copied_from")).withField("copy_share", F.coalesce("copy_share", F.lit(0.0))))
     stat = lambda name: F.col(f"stat.{name}")
     lang = F.col("_language")
     minified = (
@@ -275,22 +342,32 @@ def classify(files: DataFrame, vendor_index: DataFrame) -> DataFrame:
     ) | ((stat("packed_share") > 0.5) & (stat("blank_share") <= 0.10) & lang.isin("js", "css"))
     named_min = F.col("_path").rlike(r"(?i)[.-]min\.(js|css|mjs)$")
     numeric = stat("number_share") >= _by_language(DATA, 0, lang)
-    encoded = stat("run_share") >= _by_language(DATA, 1, lang)
+    encoded = (stat("run_share") >= _by_language(DATA, 1, lang)) | ((stat("alnum_share") >= _by_language(DATA, 2, lang)) & (stat("run_share") >= ENCODED_RUNS) & (stat("blank_share") < ENCODED_BLANKS))
     dump = (stat("n_inserts") >= DUMP_ROWS) & (stat("n_inserts") >= 0.6 * stat("n_lines"))
     table = (stat("pair_share") >= 0.6) & (stat("longest_line") > 1000)
     data = ((stat("chars") >= DATA_CHARS) & (numeric | encoded | table)) | dump
-    copy = (stat("copy_share") >= COPY_SHARE) | stat("upstream")
-    origin = (
-        F.when(F.col("_path").rlike(TOOL_NAME) & ~prose, "generated")
-        .when(F.col("_path").rlike(UPSTREAM_DIRECTORY) | copy, "vendored")
-        .when((stat("notice") | stat("tool_form")) & ~prose, "generated")
-        .when(~F.col("_language").isin(*sorted(PROSE)) & (minified | named_min), "minified")
-        .when(~F.col("_language").isin(*sorted(PROSE)) & data, "data")
-        .otherwise("written")
-    )
-    return s.select("file_id", "repo", "rel_path", "stat", origin.alias("origin"))
+    tool_name = F.col("_path").rlike(TOOL_NAME) & ~prose
+    upstream = F.col("_path").rlike(UPSTREAM_DIRECTORY)
+    # (reason, origin, condition): layout first, then comparison, then what files say of themselves and what they are called
+    rules = [
+        ("layout", "minified", ~prose & minified),
+        ("layout", "data", ~prose & data),
+        ("copy", "vendored", stat("copy_share") >= COPY_SHARE),
+        ("form", "generated", stat("tool_form") & ~prose),
+        ("notice", "vendored", stat("upstream")),
+        ("notice", "generated", stat("notice") & ~prose),
+        ("name", "generated", tool_name),
+        ("name", "vendored", upstream),
+        ("name", "minified", ~prose & named_min),
+    ]
+    reasons = F.array_distinct(F.array_compact(F.array(*[F.when(holds, F.lit(reason)) for reason, _, holds in rules])))
+    # whose file it is stands before how it looks, and what made it before both
+    order = ["name generated", "copy vendored", "notice vendored", "name vendored", "notice generated", "form generated", "layout minified", "name minified", "layout data"]
+    holds_of = {f"{reason} {origin}": (origin, holds) for reason, origin, holds in rules}
+    origin = F.coalesce(*[F.when(holds_of[key][1], F.lit(holds_of[key][0])) for key in order], F.lit("written"))
+    return s.select("file_id", "repo", "rel_path", "stat", origin.alias("origin"), reasons.alias("reasons")).withColumn("reason", F.get("reasons", F.lit(0)))
 
 
 def origin_rates(classified: DataFrame) -> DataFrame:
-    """Files per repository and origin."""
-    return classified.groupBy("repo", "origin").agg(F.count(F.lit(1)).alias("n_files"), F.sum("stat.chars").alias("n_chars"))
+    """Files per repository, origin and reason."""
+    return classified.groupBy("repo", "origin", F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("stat.chars").alias("n_chars"))

@@ -274,8 +274,30 @@ def test_long_comments_end_in_time(unit):
     assert time.process_time() - began < 10
 
 
-def test_the_index_is_bounded(spark, monkeypatch):
+def test_an_index_of_any_size_gives_equal_origins(spark, monkeypatch):
+    """Beyond the size that travels with the function, files meet the index in a join: copies, re-wrapped ones and short ones alike."""
+    rewrapped = UPSTREAM.replace("; }", ";\n}").replace(" { ", " {\n   ")
+    tiny = "export default { plain: true, size: 3 }\n"
+    index = spark.createDataFrame([("widget", "1.2.0", "w.js", "h", UPSTREAM), ("gadget", "2", "g.js", "h", UPSTREAM.replace("alpha", "gamma")), ("tiny", "1", "t.js", "h", tiny), ("none", "1", "n.js", None, None)], "package string, version string, file_name string, content_hash string, content string")
+    rows = [(n, "r", p, t, "w") for n, (p, t, _) in enumerate(ORIGINS)] + [(90, "r", "src/z.js", rewrapped, "w"), (91, "r", "src/y.js", tiny.replace("\n", " "), "w"), (92, "r", "src/x.js", tiny.replace("3", "4"), "w"), (None, "r", "src/v.js", "let a", "w")]
+    files = spark.createDataFrame(rows, "file_id long, repo string, rel_path string, content string, copied_from string")
+    small = {r["file_id"]: (r["origin"], r["reason"], r["stat"]["copied_from"] if r["origin"] == "vendored" else None) for r in generated.classify(files, index).collect()}
     monkeypatch.setattr(generated, "INDEX_BYTES", 10)
-    index = spark.createDataFrame([("w", "1", "w.js", "h", "x" * 11)], "package string, version string, file_name string, content_hash string, content string")
-    with pytest.raises(ValueError, match="bytes"):
-        generated.upstream_files(index)
+    large = {r["file_id"]: (r["origin"], r["reason"], r["stat"]["copied_from"] if r["origin"] == "vendored" else None) for r in generated.classify(files, index).collect()}
+    assert small == large
+    assert small[90] == ("vendored", "copy", "widget 1.2.0") and small[91] == ("vendored", "copy", "tiny 1") and small[92][0] == "written"
+
+
+def test_shares_of_shingles_are_exact():
+    rng = random.Random(15)
+    files = [(f"f{n}", " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(rng.randrange(30, 90)))) for n in range(6)]
+    index = generated.UpstreamIndex(files)
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in files]
+    for _ in range(80):
+        base = rng.choice(files)[1].split()
+        at = rng.randrange(len(base) - 20)
+        words = base[at : at + rng.randrange(19, 60)] + [f"q{n}" for n in range(rng.randrange(30))]
+        own = set(zip(*(words[k:] for k in range(5))))
+        want = max(len(own & s) / min(len(own), len(s)) for s in sets)
+        name, share = index.copy_of("\n".join(words))
+        assert share == pytest.approx(want) or want < generated.COPY_SHARE and share == 0
