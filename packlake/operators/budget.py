@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlake import dims
 from packlake.functions import paths, text
 from packlake.functions.redaction import redact
-from packlake.session import checkpointed
 
-#: Rows of a group that one task looks at in a round.
-ROUND_ROWS = 2048
 KINDS = ("full", "snippet", "summary")
 
 
@@ -80,50 +79,60 @@ def fold(rows: list[tuple], remaining: int) -> tuple[list[tuple[int, str]], int]
     return taken, remaining
 
 
-def select_within(ranking: DataFrame, keys: list[str], budget: Column | int = dims.DEFAULT_BUDGET, round_rows: int = ROUND_ROWS) -> DataFrame:
+def select_within(ranking: DataFrame, keys: list[str], budget: Column | int = dims.DEFAULT_BUDGET) -> DataFrame:
     """The rows of ``ranking`` (keys, rel_path, score, full_tok, snip_tok, sum_tok) that a greedy pass in rank order takes.
 
-    Adds ``kind``, ``tokens`` and ``select_no``. A group is never read as a whole: each round takes the first ``round_rows`` rows of every group
-    that can still fit, folds them, and goes on behind them with the tokens left; rows that cannot fit what is left are skipped by a
-    filter, which is what the greedy pass would do with them. Every row of a round but the first few fits only while tokens
-    last, so a few rounds end it. Empty files fit while any token is left.
+    Adds ``kind``, ``tokens`` and ``select_no``. No group is read as a whole, and nothing loops. Tokens left only ever fall, so of the rows whose
+    smallest form has ``s`` tokens those taken are the first ones in rank order, ``budget / s`` at most: one window per group and smallest form cuts
+    each group to at most budget x ln(budget) rows, however many it has, and one sorted pass folds them with three numbers of state.
+    Files of no tokens cost nothing and may be any number: they are taken if they stand before the row that used the last token.
+    A null or missing form is not there; a budget of 0 or less takes nothing.
     """
+    kept = [c for c in ("reasons",) if c in ranking.columns]
     least = F.least(*[F.coalesce(F.col(c), F.lit(2**31 - 1)) for c in ("full_tok", "snip_tok", "sum_tok")])
-    # rounds read the rows again and again: they are kept once, numbers and paths alone, in the shared folder
-    rows = checkpointed(ranking.withColumn("_least", least))
-    state = rows.select(*keys).distinct().withColumn("remaining", (budget if isinstance(budget, Column) else F.lit(budget)).cast("int"))
-    state = state.withColumns({"last_score": F.lit(None).cast("double"), "last_path": F.lit(None).cast("string"), "taken": F.lit(0)})
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "rel_path")
-    schema = ", ".join([*[f"{k} {dict(ranking.dtypes)[k]}" for k in keys], "rel_path string, kind string, tokens int, select_no int, remaining int, last_score double, last_path string, taken int, more boolean"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_n")
-        sizes = [tuple(None if pd.isna(x) else int(x) for x in row) for row in zip(group["full_tok"], group["snip_tok"], group["sum_tok"])]
-        start, done = int(group["remaining"].iloc[0]), int(group["taken"].iloc[0])
-        taken, left = fold(sizes, start)
-        last = group.iloc[-1]
-        out = []
-        for n, (at, kind) in enumerate(taken):
-            out.append((group["rel_path"].iloc[at], kind, sizes[at][KINDS.index(kind)], done + n + 1, left, None, None, 0, False))
-        out.append((None, None, None, None, left, float(last["score"]), last["rel_path"], done + len(taken), len(group) >= round_rows and left > 0))
-        frame = pd.DataFrame(out, columns=["rel_path", "kind", "tokens", "select_no", "remaining", "last_score", "last_path", "taken", "more"])
-        frame = frame.astype({"tokens": "Int32", "select_no": "Int32"})
-        for k in keys:
-            frame[k] = group[k].iloc[0]
-        return frame[[*keys, "rel_path", "kind", "tokens", "select_no", "remaining", "last_score", "last_path", "taken", "more"]]
-
-    chosen = None
-    while True:
-        open_rows = rows.join(state.where("remaining > 0"), keys).where(F.col("_least") <= F.col("remaining"))
-        behind = F.col("last_score").isNull() | (F.col("score") < F.col("last_score")) | ((F.col("score") == F.col("last_score")) & (F.col("rel_path") > F.col("last_path")))
-        part = open_rows.where(behind).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= round_rows)
-        part = part.select(*keys, "rel_path", "score", "full_tok", "snip_tok", "sum_tok", "remaining", "taken", "_n")
-        done = checkpointed(part.groupBy(*keys).applyInPandas(run, schema))
-        picks = done.where(F.col("rel_path").isNotNull()).select(*keys, "rel_path", "kind", "tokens", "select_no")
-        chosen = picks if chosen is None else chosen.unionByName(picks)
-        state = done.where(F.col("rel_path").isNull() & F.col("more")).select(*keys, "remaining", "last_score", "last_path", "taken")
-        if state.isEmpty():
-            return chosen.join(rows.select(*keys, "rel_path", "score", *[c for c in ("reasons",) if c in rows.columns]), [*keys, "rel_path"])
+    rows = ranking.withColumns({"_budget": (budget if isinstance(budget, Column) else F.lit(budget)).cast("int"), "_least": least}).where((F.col("_budget") > 0) & (F.col("_least") <= F.col("_budget")))
+    order = Window.partitionBy(*keys, "_least").orderBy(F.desc("score"), "rel_path")
+    cut = rows.where("full_tok IS NULL OR full_tok > 0").withColumn("_n", F.row_number().over(order)).where(F.col("_n") * F.col("_least") <= F.col("_budget"))
+    folded = cut.repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), "rel_path")
+    types = dict(ranking.dtypes)
+    columns = [*keys, "rel_path", "score", *kept]
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in columns], "kind string", "tokens int", "_end boolean"])
+    picked = folded.select(*columns, "full_tok", "snip_tok", "sum_tok", "_budget").mapInArrow(_fold_groups(keys, columns), schema)
+    # the row that used the last token of a group; rows of no tokens behind it are not taken
+    ends = picked.where("_end").select(*keys, F.col("score").alias("_score"), F.col("rel_path").alias("_path"))
+    empty = rows.where("full_tok = 0").join(ends, keys, "left")
+    empty = empty.where(F.col("_score").isNull() | (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("rel_path") < F.col("_path"))))
+    chosen = picked.select(*columns, "kind", "tokens").unionByName(empty.select(*columns, F.lit("full").alias("kind"), F.lit(0).alias("tokens")))
+    return chosen.withColumn("select_no", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "rel_path")))
+
+
+def _fold_groups(keys: list[str], columns: list[str]):
+    """The greedy pass over rows sorted by group and rank, group after group; batches may end anywhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, left = None, 0
+        for batch in batches:
+            key_columns = [batch.column(k).to_pylist() for k in keys]
+            sizes = zip(*[batch.column(c).to_pylist() for c in ("full_tok", "snip_tok", "sum_tok")])
+            budgets = batch.column("_budget").to_pylist()
+            taken, kinds, tokens, ends = [], [], [], []
+            for at, (key, forms_of) in enumerate(zip(zip(*key_columns), sizes)):
+                if key != group:
+                    group, left = key, budgets[at]
+                if left <= 0:
+                    continue
+                for kind, size in zip(KINDS, forms_of):
+                    if size is not None and size <= left:
+                        left -= size
+                        taken.append(at)
+                        kinds.append(kind)
+                        tokens.append(size)
+                        ends.append(left == 0)
+                        break
+            rows = batch.select(columns).take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(kinds, pa.string()), pa.array(tokens, pa.int32()), pa.array(ends, pa.bool_())], [*columns, "kind", "tokens", "_end"])
+
+    return run
 
 
 def with_texts(selected: DataFrame, summaries: DataFrame, files: DataFrame) -> DataFrame:

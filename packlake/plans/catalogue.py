@@ -7,4 +7,4 @@ from packlake.plans import graph_queries, rank_queries, scan_queries, snapshots,
 _MODULES = (snapshots, scan_queries, rank_queries, graph_queries, stream_queries)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}
-flagship = rank_queries.whole_budget_select
+flagship = QUERIES["budget_select"]

@@ -31,18 +31,6 @@ def summaries(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "summaries").drop("file_id")
 
 
-def first_task(spark, sf_dir) -> dict:
-    """The task with the least id; one row."""
-    return table(spark, sf_dir, "tasks").where(F.col("task").isNotNull()).orderBy("task_id").first().asDict()
-
-
-def task_keywords(spark, sf_dir):
-    """The keywords of the first task as a literal array."""
-    task = first_task(spark, sf_dir)
-    found = spark.range(1).select(text.keywords(F.lit(task["task"])).alias("k")).first()["k"]
-    return F.array(*map(F.lit, found)) if found else F.array().cast("array<string>")
-
-
 def tasks(spark, sf_dir) -> DataFrame:
     """(task_id, task, budget) of every task with a text; the default budget where a task names none."""
     rows = table(spark, sf_dir, "tasks").where(F.col("task").isNotNull()).dropDuplicates(["task_id"])

@@ -158,7 +158,7 @@ def import_cycles(spark, sf_dir):
 
 
 @query(f"WITH {JS_EDGES.strip()} SELECT repo, target, count(*) AS n_dependents FROM js_edges WHERE kind = 'local' GROUP BY 1, 2")
-def in_degree(spark, sf_dir):
+def in_degree_scripts(spark, sf_dir):
     return graph.in_degree(graph.javascript_edges(corpus.files(spark, sf_dir)))
 
 
@@ -168,19 +168,19 @@ def in_degree(spark, sf_dir):
   imported AS (SELECT f.repo, f.target AS rel_path, '← imported by ' || array_to_string(list_transform(list_sort(list(f.source))[1:6], lambda n: '`' || n || '`'), ', ') AS note
     FROM fwd f JOIN chosen c ON f.repo = c.repo AND f.target = c.rel_path GROUP BY 1, 2)
 SELECT * FROM imports UNION ALL SELECT * FROM imported i WHERE NOT EXISTS (SELECT 1 FROM imports x WHERE x.repo = i.repo AND x.rel_path = i.rel_path)""")
-def dependency_notes(spark, sf_dir):
+def dependency_notes_scripts(spark, sf_dir):
     edges = graph.javascript_edges(corpus.files(spark, sf_dir))
     return graph.dependency_notes(table(spark, sf_dir, "selected").select("repo", "rel_path"), edges)
 
 
 @query()
-def whole_in_degree(spark, sf_dir):
+def in_degree(spark, sf_dir):
     """Dependents by the imports of all languages; Python's come from its parser, which SQL cannot do."""
     return graph.in_degree(graph.graph_edges(corpus.files(spark, sf_dir)))
 
 
 @query()
-def whole_dependency_notes(spark, sf_dir):
+def dependency_notes(spark, sf_dir):
     """Notes by the imports of all languages."""
     return graph.dependency_notes(table(spark, sf_dir, "selected").select("repo", "rel_path"), graph.graph_edges(corpus.files(spark, sf_dir)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from packlake import dims
@@ -26,16 +28,12 @@ def query(oracle: str | None = None):
     return keep
 
 
-def _inputs(spark, sf_dir):
-    return corpus.summaries(spark, sf_dir), corpus.task_keywords(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory()
-
-
 def _memory():
     return F.array(*map(F.lit, MENTIONED))
 
 
 def _js_edges(spark, sf_dir):
-    """Edges that SQL can follow as well: those of JavaScript and TypeScript. The ``whole_`` queries follow all."""
+    """Edges that SQL can follow as well: those of JavaScript and TypeScript."""
     return graph.javascript_edges(corpus.files(spark, sf_dir))
 
 
@@ -51,7 +49,7 @@ W = dims.WEIGHTS
 _PLAIN = "nullif(array_to_string(list_filter(string_split(replace(trim(rel_path), '\\', '/'), '/'), lambda x: x <> '' AND x <> '.'), '/'), '')"
 _CHURN = f"""churn AS (SELECT repo, path AS rel_path, count(*) AS commits FROM (SELECT repo, {_PLAIN} AS path FROM file_snapshots WHERE loaded_at >= (SELECT max(loaded_at) FROM file_snapshots) - INTERVAL {corpus.CHURN_DAYS} DAY)
   WHERE path IS NOT NULL GROUP BY 1, 2)"""
-_TASK = f"task_kw AS (SELECT {sql.keywords('task')} AS kw FROM tasks WHERE task IS NOT NULL ORDER BY task_id LIMIT 1)"
+_TASK = f"task_kw AS (SELECT task_id, coalesce(budget, {dims.DEFAULT_BUDGET}) AS budget, {sql.keywords('task')} AS kw FROM tasks WHERE task IS NOT NULL)"
 
 
 def _hits(expr: str) -> str:
@@ -60,11 +58,11 @@ def _hits(expr: str) -> str:
 
 _DESC = "coalesce(purpose, '') || ' ' || coalesce(docstring, '')"
 _SIGNALS = f"""signals AS (
-  SELECT repo, rel_path, {_hits(sql.tokens('rel_path'))} AS h0, {_hits("list_distinct(list_transform(list_concat(coalesce(exports, []), coalesce(symbols, [])), lambda s: lower(s)))")} AS h1,
+  SELECT task_id, repo, rel_path, {_hits(sql.tokens('rel_path'))} AS h0, {_hits("list_distinct(list_transform(list_concat(coalesce(exports, []), coalesce(symbols, [])), lambda s: lower(s)))")} AS h1,
     {_hits(sql.tokens(_DESC))} AS h2, {_hits("list_distinct(list_transform(coalesce(imports, []), lambda i: string_split(lower(i), '.')[1]))")} AS h3
   FROM summaries_1, task_kw WHERE NOT {sql.is_secret('rel_path')})"""
 _SCORES = f"""scored AS (
-  SELECT s.repo, s.rel_path,
+  SELECT s.task_id, s.repo, s.rel_path,
     len(h0) * {W['path']} + len(h1) * {W['symbol']} + len(h2) * {W['keyword']} + len(h3) * {W['import']}
     + CASE WHEN lower({sql.name('s.rel_path')}) IN {sql.in_list(dims.PRIORITY_NAMES)} THEN {W['priority']}::DOUBLE ELSE 0.0 END
     + CASE WHEN s.rel_path IN {sql.in_list(MENTIONED)} OR {sql.name('s.rel_path')} IN {sql.in_list(MENTIONED)} THEN {W['memory']}::DOUBLE ELSE 0.0 END
@@ -100,153 +98,116 @@ JS_EDGES = f"""
     WHERE coalesce(h.target, CASE WHEN relative THEN module ELSE string_split(module, '/')[1] END) <> ''
     QUALIFY row_number() OVER (PARTITION BY b.repo, b.rel_path, kind = 'unresolved', module ORDER BY b.ord) = 1 OR kind = 'unresolved')"""
 _EXPANDED = f"""
-  best AS (SELECT repo, max(score) AS best FROM scored GROUP BY repo),
-  leaders AS (SELECT s.* FROM scored s JOIN best b ON s.repo = b.repo WHERE score > 0 AND score >= best * {W['share']}::DOUBLE),
-  dep_boost AS (SELECT e.repo, e.target AS rel_path, list(l.score * {W['dep']}::DOUBLE ORDER BY l.score DESC, l.rel_path, e.ord) AS amounts, list('dep:' || {sql.name('l.rel_path')} ORDER BY l.score DESC, l.rel_path, e.ord) AS told
-    FROM leaders l JOIN js_edges e ON l.repo = e.repo AND l.rel_path = e.source AND e.kind = 'local' GROUP BY 1, 2),
-  expanded AS (SELECT s.repo, s.rel_path, CASE WHEN d.repo IS NULL THEN s.score ELSE list_reduce(list_prepend(s.score, d.amounts), lambda a, b: a + b) END AS score, list_concat(s.reasons, coalesce(d.told, [])) AS reasons
-    FROM scored s LEFT JOIN dep_boost d ON s.repo = d.repo AND s.rel_path = d.rel_path)"""
+  best AS (SELECT task_id, repo, max(score) AS best FROM scored GROUP BY 1, 2),
+  leaders AS (SELECT s.* FROM scored s JOIN best b ON s.task_id = b.task_id AND s.repo = b.repo WHERE score > 0 AND score >= best * {W['share']}::DOUBLE),
+  dep_boost AS (SELECT l.task_id, e.repo, e.target AS rel_path, list(l.score * {W['dep']}::DOUBLE ORDER BY l.score DESC, l.rel_path, e.ord) AS amounts, list('dep:' || {sql.name('l.rel_path')} ORDER BY l.score DESC, l.rel_path, e.ord) AS told
+    FROM leaders l JOIN js_edges e ON l.repo = e.repo AND l.rel_path = e.source AND e.kind = 'local' GROUP BY 1, 2, 3),
+  expanded AS (SELECT s.task_id, s.repo, s.rel_path, CASE WHEN d.repo IS NULL THEN s.score ELSE list_reduce(list_prepend(s.score, d.amounts), lambda a, b: a + b) END AS score, list_concat(s.reasons, coalesce(d.told, [])) AS reasons
+    FROM scored s LEFT JOIN dep_boost d ON s.task_id = d.task_id AND s.repo = d.repo AND s.rel_path = d.rel_path)"""
 _INSIDE = f"CASE WHEN {sql.parent('l.rel_path')} <> '' THEN {sql.parent('l.rel_path')} || '/' ELSE '' END"
 _STEM = f"({sql.stem('l.rel_path')})"
 _PAIRED = f"""
-  best2 AS (SELECT repo, max(score) AS best FROM expanded GROUP BY repo),
-  leaders2 AS (SELECT s.* FROM expanded s JOIN best2 b ON s.repo = b.repo WHERE score > 0 AND score >= best * {W['share']}::DOUBLE),
-  places AS (SELECT l.repo, l.rel_path AS source, unnest([{_INSIDE} || 'test_' || {_STEM} || '.py', {_INSIDE} || {_STEM} || '_test.py', 'tests/test_' || {_STEM} || '.py', 'tests/' || {_INSIDE} || 'test_' || {_STEM} || '.py', 'test/test_' || {_STEM} || '.py']) AS rel_path,
+  best2 AS (SELECT task_id, repo, max(score) AS best FROM expanded GROUP BY 1, 2),
+  leaders2 AS (SELECT s.* FROM expanded s JOIN best2 b ON s.task_id = b.task_id AND s.repo = b.repo WHERE score > 0 AND score >= best * {W['share']}::DOUBLE),
+  places AS (SELECT l.task_id, l.repo, l.rel_path AS source, unnest([{_INSIDE} || 'test_' || {_STEM} || '.py', {_INSIDE} || {_STEM} || '_test.py', 'tests/test_' || {_STEM} || '.py', 'tests/' || {_INSIDE} || 'test_' || {_STEM} || '.py', 'test/test_' || {_STEM} || '.py']) AS rel_path,
     unnest([0, 1, 2, 3, 4]) AS ord FROM leaders2 l),
-  pair_boost AS (SELECT repo, rel_path, list({W['pair']}::DOUBLE ORDER BY source, ord) AS amounts, list('test_pair:' || {sql.name('source')} ORDER BY source, ord) AS told FROM places GROUP BY 1, 2),
-  ranking AS (SELECT s.repo, s.rel_path, CASE WHEN d.repo IS NULL THEN s.score ELSE list_reduce(list_prepend(s.score, d.amounts), lambda a, b: a + b) END AS score, list_concat(s.reasons, coalesce(d.told, [])) AS reasons
-    FROM expanded s LEFT JOIN pair_boost d ON s.repo = d.repo AND s.rel_path = d.rel_path)"""
+  pair_boost AS (SELECT task_id, repo, rel_path, list({W['pair']}::DOUBLE ORDER BY source, ord) AS amounts, list('test_pair:' || {sql.name('source')} ORDER BY source, ord) AS told FROM places GROUP BY 1, 2, 3),
+  ranking AS (SELECT s.task_id, s.repo, s.rel_path, CASE WHEN d.repo IS NULL THEN s.score ELSE list_reduce(list_prepend(s.score, d.amounts), lambda a, b: a + b) END AS score, list_concat(s.reasons, coalesce(d.told, [])) AS reasons
+    FROM expanded s LEFT JOIN pair_boost d ON s.task_id = d.task_id AND s.repo = d.repo AND s.rel_path = d.rel_path)"""
 _BASE = f"WITH RECURSIVE {sql.SUMMARIES}, {_TASK}, {_CHURN}, {_SIGNALS}, {_SCORES}"
 _RANKING = f"{_BASE}, {JS_EDGES}, {_EXPANDED}, {_PAIRED}"
 _TOLD = "round(score, 6) AS score, array_to_string(reasons, '; ') AS reasons"
 _FORMS = f"""
-  forms AS (SELECT r.repo, r.rel_path, r.score, r.reasons, row_number() OVER (PARTITION BY r.repo ORDER BY score DESC, r.rel_path) AS rank,
+  forms AS (SELECT r.task_id, r.repo, r.rel_path, r.score, r.reasons, row_number() OVER (PARTITION BY r.task_id, r.repo ORDER BY score DESC, r.rel_path) AS rank,
     {sql.token_count('shown')} AS full_tok, {sql.token_count(sql.head_lines('shown', dims.SNIPPET_LINES))} AS snip_tok, {sql.token_count('told')} AS sum_tok
     FROM ranking r JOIN (SELECT repo, rel_path, {sql.summary_text()} AS told FROM summaries_1) t ON r.repo = t.repo AND r.rel_path = t.rel_path
     LEFT JOIN (SELECT repo, rel_path, {sql.redact('content')} AS shown FROM files) f ON r.repo = f.repo AND r.rel_path = f.rel_path),
   walk AS (
-    SELECT repo, 0::BIGINT AS rank, '' AS rel_path, NULL::VARCHAR AS kind, NULL::BIGINT AS tokens, {dims.DEFAULT_BUDGET}::BIGINT AS remaining FROM (SELECT DISTINCT repo FROM forms)
+    SELECT task_id, repo, 0::BIGINT AS rank, '' AS rel_path, NULL::VARCHAR AS kind, NULL::BIGINT AS tokens, budget::BIGINT AS remaining FROM (SELECT DISTINCT task_id, repo FROM forms) JOIN task_kw USING (task_id)
     UNION ALL
-    SELECT f.repo, f.rank, f.rel_path,
+    SELECT f.task_id, f.repo, f.rank, f.rel_path,
       CASE WHEN w.remaining <= 0 THEN NULL WHEN full_tok <= w.remaining THEN 'full' WHEN snip_tok <= w.remaining THEN 'snippet' WHEN sum_tok <= w.remaining THEN 'summary' END,
       CASE WHEN w.remaining <= 0 THEN NULL WHEN full_tok <= w.remaining THEN full_tok WHEN snip_tok <= w.remaining THEN snip_tok WHEN sum_tok <= w.remaining THEN sum_tok END,
       w.remaining - coalesce(CASE WHEN w.remaining <= 0 THEN NULL WHEN full_tok <= w.remaining THEN full_tok WHEN snip_tok <= w.remaining THEN snip_tok WHEN sum_tok <= w.remaining THEN sum_tok END, 0)
-    FROM walk w JOIN forms f ON f.repo = w.repo AND f.rank = w.rank + 1),
-  selected AS (SELECT w.repo, w.rel_path, w.kind, w.tokens::INT AS tokens, row_number() OVER (PARTITION BY w.repo ORDER BY w.rank)::INT AS select_no, f.score, f.reasons FROM walk w JOIN forms f ON w.repo = f.repo AND w.rank = f.rank WHERE w.kind IS NOT NULL)"""
-
-
-@query(_BASE + f" SELECT repo, rel_path, {_TOLD} FROM scored")
-def score_signals(spark, sf_dir):
-    summaries, keywords, churned, memory = _inputs(spark, sf_dir)
-    return _joined(rank.scored(summaries, keywords, churned, memory))
-
-
-@query(f"{_BASE}, {JS_EDGES}, {_EXPANDED} SELECT repo, rel_path, {_TOLD} FROM expanded")
-def dep_expand(spark, sf_dir):
-    summaries, keywords, churned, memory = _inputs(spark, sf_dir)
-    return _joined(rank.expand_dependencies(rank.scored(summaries, keywords, churned, memory), _js_edges(spark, sf_dir)))
-
-
-@query(_RANKING + f" SELECT repo, rel_path, {_TOLD} FROM ranking WHERE list_has_any(list_transform(reasons, lambda x: x[1:10]), ['test_pair:'])")
-def test_pairs(spark, sf_dir):
-    ranking = _ranking(spark, sf_dir)
-    return _joined(ranking.where(F.exists("reasons", lambda r: r.startswith("test_pair:"))))
-
-
-test_pairs.__test__ = False
-
+    FROM walk w JOIN forms f ON f.task_id = w.task_id AND f.repo = w.repo AND f.rank = w.rank + 1),
+  selected AS (SELECT w.task_id, w.repo, w.rel_path, w.kind, w.tokens::INT AS tokens, row_number() OVER (PARTITION BY w.task_id, w.repo ORDER BY w.rank)::INT AS select_no, f.score, f.reasons FROM walk w JOIN forms f ON w.task_id = f.task_id AND w.repo = f.repo AND w.rank = f.rank WHERE w.kind IS NOT NULL)"""
 
-def _ranking(spark, sf_dir):
-    summaries, keywords, churned, memory = _inputs(spark, sf_dir)
-    return rank.rank_files(summaries, _js_edges(spark, sf_dir), keywords, churned, memory)
 
+_RANKED = "SELECT *, row_number() OVER (PARTITION BY task_id, repo ORDER BY score DESC, rel_path)::INT AS rank FROM ranking"
+_LEFT_OUT = f"""SELECT task_id, repo, rel_path, cause, CASE WHEN starts_with(lower({sql.name('rel_path')}), '.env') OR regexp_matches(lower({sql.name('rel_path')}), 'secret|credential|password') THEN 'secret/credential file' ELSE 'over budget' END AS note
+FROM (SELECT task_id, repo, rel_path, 'secret' AS cause FROM summaries_1, task_kw WHERE {sql.is_secret('rel_path')} UNION ALL
+  SELECT r.task_id, r.repo, r.rel_path, 'budget' FROM ranking r WHERE NOT EXISTS (SELECT 1 FROM selected s WHERE s.task_id = r.task_id AND s.repo = r.repo AND s.rel_path = r.rel_path))"""
+_SAVED = """t AS (SELECT task_id, repo, sum(coalesce(line_count, 0)::BIGINT * 15)::BIGINT AS total FROM summaries_1, task_kw GROUP BY 1, 2), u AS (SELECT task_id, repo, sum(tokens)::BIGINT AS used FROM selected GROUP BY 1, 2)
+SELECT t.task_id, t.repo, total AS repo_total_tokens, coalesce(used, 0)::BIGINT AS used_tokens, greatest(0, total - coalesce(used, 0))::BIGINT AS saved_tokens,
+  CASE WHEN total > 0 THEN trunc(greatest(0, total - coalesce(used, 0)) / total * 100)::BIGINT ELSE 0 END AS saved_pct FROM t LEFT JOIN u ON t.task_id = u.task_id AND t.repo = u.repo"""
 
-@query(_RANKING + f" SELECT repo, rel_path, rank::INT AS rank, {_TOLD} FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, rel_path) AS rank FROM ranking) WHERE rank <= 20")
-def rank_topk(spark, sf_dir):
-    return _joined(rank.top_files(_ranking(spark, sf_dir), 20), "rank")
 
+# Every task is ranked over every file, along the imports of all languages, and selects within its own budget. Imports of Python come from its
+# parser, which SQL cannot do: the queries that follow imports are tested against brute force. Beside each stands the same operator over the edges of
+# JavaScript and TypeScript (``_scripts``), which SQL can follow, for the comparison with SQL.
 
-def _selection(spark, sf_dir):
-    summaries, ranking = corpus.summaries(spark, sf_dir), _ranking(spark, sf_dir)
-    sized = ranking.join(budget.forms(summaries, corpus.files(spark, sf_dir)), ["repo", "rel_path"])
-    return summaries, ranking, budget.select_within(sized, ["repo"])
 
-
-@query(f"{_RANKING}, {_FORMS} SELECT repo, rel_path, kind, tokens, select_no, {_TOLD} FROM selected")
-def budget_select(spark, sf_dir):
-    """For the first task, the files each repository shows within the default budget; ``whole_budget_select`` has all tasks."""
-    return _joined(_selection(spark, sf_dir)[2], "kind", "tokens", "select_no")
-
-
-@query(f"""{_RANKING}, {_FORMS} SELECT repo, rel_path, cause, CASE WHEN starts_with(lower({sql.name('rel_path')}), '.env') OR regexp_matches(lower({sql.name('rel_path')}), 'secret|credential|password') THEN 'secret/credential file' ELSE 'over budget' END AS note
-FROM (SELECT repo, rel_path, 'secret' AS cause FROM summaries_1 WHERE {sql.is_secret('rel_path')} UNION ALL
-  SELECT r.repo, r.rel_path, 'budget' FROM ranking r WHERE NOT EXISTS (SELECT 1 FROM selected s WHERE s.repo = r.repo AND s.rel_path = r.rel_path))""")
-def budget_excluded(spark, sf_dir):
-    summaries, ranking, selected = _selection(spark, sf_dir)
-    return budget.excluded(summaries, ranking, selected)
-
-
-@query(f"""{_RANKING}, {_FORMS}, t AS (SELECT repo, sum(coalesce(line_count, 0)::BIGINT * 15)::BIGINT AS total FROM summaries_1 GROUP BY repo), u AS (SELECT repo, sum(tokens)::BIGINT AS used FROM selected GROUP BY repo)
-SELECT t.repo, total AS repo_total_tokens, coalesce(used, 0)::BIGINT AS used_tokens, greatest(0, total - coalesce(used, 0))::BIGINT AS saved_tokens,
-  CASE WHEN total > 0 THEN trunc(greatest(0, total - coalesce(used, 0)) / total * 100)::BIGINT ELSE 0 END AS saved_pct FROM t LEFT JOIN u ON t.repo = u.repo""")
-def savings(spark, sf_dir):
-    summaries, _, selected = _selection(spark, sf_dir)
-    return budget.savings(summaries, selected)
-
-
-def _whole_scores(spark, sf_dir):
+def _scores(spark, sf_dir):
     return rank.scored_tasks(corpus.summaries(spark, sf_dir), corpus.tasks(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory())
 
 
-def _whole_ranking(spark, sf_dir):
-    return rank.rank_tasks(corpus.summaries(spark, sf_dir), _all_edges(spark, sf_dir), corpus.tasks(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory())
+def _ranking(spark, sf_dir, edges_of):
+    return rank.rank_tasks(corpus.summaries(spark, sf_dir), edges_of(spark, sf_dir), corpus.tasks(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory())
 
 
-def _whole_selection(spark, sf_dir):
-    summaries, tasks, ranking = corpus.summaries(spark, sf_dir), corpus.tasks(spark, sf_dir), checkpointed(_whole_ranking(spark, sf_dir))
-    sized = ranking.join(budget.forms(summaries, corpus.files(spark, sf_dir)), ["repo", "rel_path"]).join(tasks.select("task_id", "budget"), "task_id")
-    return summaries, ranking, budget.select_within(sized, ["task_id", "repo", "budget"], F.col("budget")), tasks
+def _selection(spark, sf_dir, edges_of):
+    summaries, tasks, ranking = corpus.summaries(spark, sf_dir), corpus.tasks(spark, sf_dir), checkpointed(_ranking(spark, sf_dir, edges_of))
+    sized = ranking.join(budget.forms(summaries, corpus.files(spark, sf_dir)), ["repo", "rel_path"]).join(F.broadcast(tasks.select("task_id", "budget")), "task_id")
+    return summaries, ranking, budget.select_within(sized, ["task_id", "repo"], F.col("budget")), tasks
 
 
-@query()
-def whole_score_signals(spark, sf_dir):
+@query(_BASE + f" SELECT task_id, repo, rel_path, {_TOLD} FROM scored")
+def score_signals(spark, sf_dir):
     """The scores of every file for every task."""
-    return _joined(_whole_scores(spark, sf_dir), "task_id")
+    return _joined(_scores(spark, sf_dir), "task_id")
 
 
-@query()
-def whole_dep_expand(spark, sf_dir):
-    """Boosts for every task along the imports of all languages; Python's come from its parser, which SQL cannot do."""
-    return _joined(rank.expand_dependencies(checkpointed(_whole_scores(spark, sf_dir)), _all_edges(spark, sf_dir)), "task_id")
+def _dep_expand(spark, sf_dir, edges_of):
+    return _joined(rank.expand_dependencies(checkpointed(_scores(spark, sf_dir)), edges_of(spark, sf_dir)), "task_id")
 
 
-@query()
-def whole_test_pairs(spark, sf_dir):
-    return _joined(_whole_ranking(spark, sf_dir).where(F.exists("reasons", lambda r: r.startswith("test_pair:"))), "task_id")
+def _test_pairs(spark, sf_dir, edges_of):
+    return _joined(_ranking(spark, sf_dir, edges_of).where(F.exists("reasons", lambda r: r.startswith("test_pair:"))), "task_id")
 
 
-@query()
-def whole_rank_topk(spark, sf_dir):
-    return _joined(rank.top_files(_whole_ranking(spark, sf_dir), 20), "rank", "task_id")
+def _rank_topk(spark, sf_dir, edges_of):
+    return _joined(rank.top_files(_ranking(spark, sf_dir, edges_of), 20), "rank", "task_id")
 
 
-@query()
-def whole_budget_select(spark, sf_dir):
+def _budget_select(spark, sf_dir, edges_of):
     """The flagship: for every task, the files each repository shows within the task's budget."""
-    return _joined(_whole_selection(spark, sf_dir)[2], "kind", "tokens", "select_no", "task_id", "budget")
+    return _joined(_selection(spark, sf_dir, edges_of)[2], "kind", "tokens", "select_no", "task_id")
 
 
-@query()
-def whole_budget_excluded(spark, sf_dir):
-    return budget.excluded(*_whole_selection(spark, sf_dir))
+def _budget_excluded(spark, sf_dir, edges_of):
+    return budget.excluded(*_selection(spark, sf_dir, edges_of))
 
 
-@query()
-def whole_savings(spark, sf_dir):
-    summaries, _, selected, tasks = _whole_selection(spark, sf_dir)
+def _savings(spark, sf_dir, edges_of):
+    summaries, _, selected, tasks = _selection(spark, sf_dir, edges_of)
     return budget.savings(summaries, selected, tasks)
 
 
+def _both(name, run, oracle):
+    """``name`` over the imports of all languages, and ``name``_scripts over those SQL can follow."""
+    QUERIES[name] = partial(run, edges_of=_all_edges)
+    QUERIES[f"{name}_scripts"] = partial(run, edges_of=_js_edges)
+    ORACLES[f"{name}_scripts"] = oracle
+
+
+_both("dep_expand", _dep_expand, f"{_BASE}, {JS_EDGES}, {_EXPANDED} SELECT task_id, repo, rel_path, {_TOLD} FROM expanded")
+_both("test_pairs", _test_pairs, _RANKING + f" SELECT task_id, repo, rel_path, {_TOLD} FROM ranking WHERE list_has_any(list_transform(reasons, lambda x: x[1:10]), ['test_pair:'])")
+_both("rank_topk", _rank_topk, _RANKING + f" SELECT task_id, repo, rel_path, rank, {_TOLD} FROM ({_RANKED}) WHERE rank <= 20")
+_both("budget_select", _budget_select, f"{_RANKING}, {_FORMS} SELECT task_id, repo, rel_path, kind, tokens, select_no, {_TOLD} FROM selected")
+_both("budget_excluded", _budget_excluded, f"{_RANKING}, {_FORMS} {_LEFT_OUT}")
+_both("savings", _savings, f"{_RANKING}, {_FORMS}, {_SAVED}")
+
+
 _MANY = f"""WITH {sql.SUMMARIES}, k AS (SELECT DISTINCT task_id, unnest({sql.keywords('task')}) AS token FROM tasks),
   p AS (SELECT repo, rel_path, 0 AS s, unnest({sql.tokens('rel_path')}) AS token FROM summaries_1 WHERE NOT {sql.is_secret('rel_path')}
     UNION ALL SELECT repo, rel_path, 1, unnest(list_distinct(list_transform(list_concat(coalesce(exports, []), coalesce(symbols, [])), lambda s: lower(s)))) FROM summaries_1 WHERE NOT {sql.is_secret('rel_path')}

@@ -115,18 +115,11 @@ def identifier_parts(spark, sf_dir):
     return table(spark, sf_dir, "symbols").where(F.col("name").isNotNull()).select("name", F.array_join(text.identifier_parts(F.col("name")), " ").alias("parts")).distinct()
 
 
-@query(f"""WITH k AS (SELECT {sql.keywords('task')} AS kw FROM tasks WHERE task IS NOT NULL ORDER BY task_id LIMIT 1)
-SELECT repo, rel_path, round(sum(CASE lower(trim(kind)) WHEN 'function' THEN 2.0 WHEN 'method' THEN 1.5 WHEN 'class' THEN 1.0 ELSE 1.0 END * len(list_intersect({_PARTS}, k.kw))), 6) AS score
-FROM (SELECT DISTINCT file_id, repo, rel_path, name, kind, start_line, end_line, parent FROM symbols) s, k GROUP BY repo, rel_path""")
+@query(f"""WITH k AS (SELECT task_id, {sql.keywords('task')} AS kw FROM tasks WHERE task IS NOT NULL)
+SELECT task_id, repo, rel_path, round(sum(CASE lower(trim(kind)) WHEN 'function' THEN 2.0 WHEN 'method' THEN 1.5 WHEN 'class' THEN 1.0 ELSE 1.0 END * len(list_intersect({_PARTS}, k.kw))), 6) AS score
+FROM (SELECT DISTINCT file_id, repo, rel_path, name, kind, start_line, end_line, parent FROM symbols) s, k GROUP BY task_id, repo, rel_path""")
 def symbol_score(spark, sf_dir):
-    rows = table(spark, sf_dir, "symbols").distinct()
-    hits = F.size(F.array_intersect(text.identifier_parts(F.col("name")), corpus.task_keywords(spark, sf_dir)))
-    return rows.groupBy("repo", "rel_path").agg(F.round(F.sum(symbol_weight(F.col("kind")) * F.when(F.col("name").isNotNull(), hits).otherwise(F.lit(None))), 6).alias("score"))
-
-
-@query()
-def whole_symbol_score(spark, sf_dir):
-    """``symbol_score`` for every task: parts of names and keywords meet in an equi-join; files without a hit score 0."""
+    """The symbols of every file against every task: parts of names and keywords meet in an equi-join; files without a hit score 0."""
     rows, tasks = table(spark, sf_dir, "symbols").distinct(), corpus.tasks(spark, sf_dir)
     words = tasks.select("task_id", F.explode(text.keywords(F.col("task"))).alias("part"))
     parts = rows.where(F.col("name").isNotNull()).select("repo", "rel_path", symbol_weight(F.col("kind")).alias("weight"), F.explode(text.identifier_parts(F.col("name"))).alias("part"))

@@ -142,15 +142,15 @@ def test_fold_passes_over_what_does_not_fit():
     assert budget.fold([(1, 1, 1)], 0) == ([], 0)
 
 
-def test_rounds_give_what_one_pass_gives(spark):
+def test_the_sorted_pass_gives_what_the_fold_gives(spark):
     rng = random.Random(5)
     rows = []
     for repo in ("a", "b", "c"):
         for n in range(200):
             full = rng.randrange(0, 400)
-            rows.append((repo, f"f{n:03d}", float(rng.randrange(6)), full if rng.random() < 0.9 else None, min(full, 120) if rng.random() < 0.9 else None, rng.randrange(10, 60)))
+            rows.append((repo, f"f{n:03d}", float(rng.randrange(6)), full if rng.random() < 0.9 else None, min(full, rng.choice([0, 120])) if rng.random() < 0.9 else None, rng.randrange(10, 60)))
     frame = spark.createDataFrame(rows, "repo string, rel_path string, score double, full_tok int, snip_tok int, sum_tok int")
-    got = {(r["repo"], r["rel_path"]): (r["kind"], r["tokens"], r["select_no"]) for r in budget.select_within(frame, ["repo"], 3000, round_rows=16).collect()}
+    got = {(r["repo"], r["rel_path"]): (r["kind"], r["tokens"], r["select_no"]) for r in budget.select_within(frame, ["repo"], 3000).collect()}
     want = {}
     for repo in ("a", "b", "c"):
         mine = sorted((r for r in rows if r[0] == repo), key=lambda r: (-r[2], r[1]))

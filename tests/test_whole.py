@@ -44,17 +44,17 @@ def rows_of(spark, small, name):
 
 
 def test_python_imports_count(spark, small):
-    assert {(r["repo"], r["target"]): r["n_dependents"] for r in rows_of(spark, small, "whole_in_degree")} == {(repo, target): 1 for repo, _, target in LOCAL}
-    assert {(r["repo"], r["rel_path"]): r["note"] for r in rows_of(spark, small, "whole_dependency_notes")} == {
+    assert {(r["repo"], r["target"]): r["n_dependents"] for r in rows_of(spark, small, "in_degree")} == {(repo, target): 1 for repo, _, target in LOCAL}
+    assert {(r["repo"], r["rel_path"]): r["note"] for r in rows_of(spark, small, "dependency_notes")} == {
         ("r", "pkg/ledger.py"): "→ imports `pkg/__init__.py`, `pkg/rates.py`", ("r", "pkg/rates.py"): "← imported by `pkg/ledger.py`",
         ("q", "basket.py"): "→ imports `store.py`", ("q", "store.py"): "← imported by `basket.py`",
     }
 
 
 def test_python_imports_boost(spark, small):
-    got = {r["rel_path"]: (r["score"], r["reasons"]) for r in rows_of(spark, small, "whole_dep_expand") if r["repo"] == "r" and r.get("task_id", 1) == 1}
+    got = {r["rel_path"]: (r["score"], r["reasons"]) for r in rows_of(spark, small, "dep_expand") if r["repo"] == "r" and r.get("task_id", 1) == 1}
     assert got["pkg/rates.py"] == (0.8, "dep:ledger.py") and got["web/view.js"] == (0.8, "dep:ledger.js")
-    assert any(r["rel_path"] == "pkg/rates.py" and "dep:ledger.py" in r["reasons"] for r in rows_of(spark, small, "whole_rank_topk"))
+    assert any(r["rel_path"] == "pkg/rates.py" and "dep:ledger.py" in r["reasons"] for r in rows_of(spark, small, "rank_topk"))
 
 
 def each_task(spark, small):
@@ -76,17 +76,17 @@ def test_every_task_is_ranked_and_gets_its_own_budget(spark, small):
             mine = sorted((s for s in scores if s[0] == repo), key=lambda s: (-s[2], s[1]))
             top |= {(task, repo, path, n, round(score, 6), why) for n, (_, path, score, why) in enumerate(mine[:20], start=1)}
             taken, over = budget.fold([sizes[s[:2]] for s in mine], tokens)
-            chosen |= {(task, tokens, repo, mine[at][1], kind, sizes[mine[at][:2]][budget.KINDS.index(kind)], n) for n, (at, kind) in enumerate(taken, start=1)}
+            chosen |= {(task, repo, mine[at][1], kind, sizes[mine[at][:2]][budget.KINDS.index(kind)], n) for n, (at, kind) in enumerate(taken, start=1)}
             left |= {(task, repo, s[1], "budget") for s in mine} - {(task, repo, mine[at][1], "budget") for at, _ in taken}
             used[task, repo] = tokens - over
-    assert {task for task, *_ in top} == {1, 2, 3, 5} and {b for _, b, *_ in chosen} == {60, 25, 8000, 30}
-    assert {(r["task_id"], r["repo"], r["rel_path"], r["rank"], r["score"], r["reasons"]) for r in rows_of(spark, small, "whole_rank_topk")} == top
-    got = {(r["task_id"], r["budget"], r["repo"], r["rel_path"], r["kind"], r["tokens"], r["select_no"]) for r in rows_of(spark, small, "whole_budget_select")}
+    assert {task for task, *_ in top} == {1, 2, 3, 5}
+    assert {(r["task_id"], r["repo"], r["rel_path"], r["rank"], r["score"], r["reasons"]) for r in rows_of(spark, small, "rank_topk")} == top
+    got = {(r["task_id"], r["repo"], r["rel_path"], r["kind"], r["tokens"], r["select_no"]) for r in rows_of(spark, small, "budget_select")}
     assert got == chosen
-    assert {(r["task_id"], r["repo"], r["rel_path"], r["cause"]) for r in rows_of(spark, small, "whole_budget_excluded")} == left
-    assert {(r["task_id"], r["repo"]): r["used_tokens"] for r in rows_of(spark, small, "whole_savings")} == used
+    assert {(r["task_id"], r["repo"], r["rel_path"], r["cause"]) for r in rows_of(spark, small, "budget_excluded")} == left
+    assert {(r["task_id"], r["repo"]): r["used_tokens"] for r in rows_of(spark, small, "savings")} == used
 
 
 def test_symbols_are_scored_for_every_task(spark, small):
-    got = {(r["task_id"], r["repo"], r["rel_path"]): r["score"] for r in rows_of(spark, small, "whole_symbol_score")}
+    got = {(r["task_id"], r["repo"], r["rel_path"]): r["score"] for r in rows_of(spark, small, "symbol_score")}
     assert got == {(t, *p): s for t in (1, 2, 3, 5) for p, s in {("r", "pkg/store.py"): {1: 1.0, 3: 2.0}.get(t, 0.0), ("q", "basket.py"): None, ("q", "store.py"): 0.0}.items()}
