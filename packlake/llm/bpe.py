@@ -252,6 +252,19 @@ def token_count(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     return count(text)
 
 
+def decoded(ids: Column, path: str = DEFAULT_VOCABULARY) -> Column:
+    """The text of a column of ids; null where it is null."""
+    ship(path)
+
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bpe = vocabulary(path)
+        for rows in batches:
+            yield pd.Series([None if row is None else bpe.decode(row) for row in rows], dtype=object)
+
+    return decode(ids)
+
+
 def encode_corpus(documents: DataFrame, path: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of every row; the id column is passed through as it is, also null or repeated."""
     return documents.select(id_col, token_ids(F.col(text_col), path).alias("ids"))
