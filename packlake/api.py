@@ -146,8 +146,16 @@ class Repository:
         secret = summaries.where(is_secret_file(F.col("rel_path"))).orderBy("rel_path").select("rel_path")
         out.excluded = [{"rel_path": r["rel_path"], "note": r["note"]} for part in (secret, left) for r in part.withColumn("note", exclusion_label(F.col("rel_path"))).collect()]
         if not allow_sensitive:
-            counts = files.join(chosen.select("rel_path"), "rel_path", "left_semi").select("rel_path", redaction_counts(F.col("content")).alias("c")).collect()
-            out.warnings = [f"{r['rel_path']}: [secret:{name}] {n} found" for r in counts for name, n in r["c"].asDict().items() if n]
+            held = files.join(chosen.select("rel_path"), "rel_path", "left_semi").select("rel_path", "content", redaction_counts(F.col("content")).alias("whole"))
+            lines = held.select("rel_path", "whole", F.posexplode(F.split("content", "\n")).alias("at", "line"))
+            found = lines.where(redact(F.col("line")) != F.col("line")).select("rel_path", (F.col("at") + 1).alias("line_no"), F.left(F.trim(redact(F.col("line"))), F.lit(80)).alias("shown"), redaction_counts(F.col("line")).alias("c"))
+            rows = found.orderBy("rel_path", "line_no").collect()  # bounded by the budget of the selection
+            told = [(r["rel_path"], r["line_no"], name, n, r["shown"]) for r in rows for name, n in r["c"].asDict().items() if n]
+            out.warnings = [f"{path}:{line}: {name}: {shown}" for path, line, name, _, shown in told]
+            for r in held.select("rel_path", "whole").orderBy("rel_path").collect():  # values of several lines, as key blocks are
+                for name, n in r["whole"].asDict().items():
+                    if n > sum(m for path, _, other, m, _ in told if (path, other) == (r["rel_path"], name)):
+                        out.warnings.append(f"{r['rel_path']}: {name} over several lines")
         notes = graph.dependency_notes(chosen.select("repo", "rel_path"), self.edges()).orderBy("rel_path").limit(render.NOTE_LINES).collect()
         out.notes = [f"- `{r['rel_path']}` {r['note']}" for r in notes]
         out.total_tokens = int(summaries.agg(F.sum(F.col("line_count") * 15)).first()[0] or 0)

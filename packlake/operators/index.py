@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tomllib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,16 +74,32 @@ def key_files(summaries: DataFrame, entries: DataFrame, n: int = TOP_FILES) -> D
     return _first(scored, n, F.desc("score"), "rel_path")
 
 
+def _names_in_toml(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for contents, tables in batches:
+        found = []
+        for content, table in zip(contents, tables):
+            try:
+                name = tomllib.loads(content or "").get(table, {}).get("name")
+            except (tomllib.TOMLDecodeError, AttributeError, RecursionError):
+                name = None
+            found.append(name if isinstance(name, str) else None)
+        yield pd.Series(found, dtype=object)
+
+
 def project_names(files: DataFrame) -> DataFrame:
-    """(repo, project_name): the name in a manifest at the root, by order of manifests, else the repository's own."""
-    toml_name = lambda table: F.regexp_extract("content", rf"(?s)(?:^|\n)\[{table}\][^\[]*?\nname\s*=\s*[\"']([^\"'\n]+)", 1)
-    name = (
-        F.when(F.col("rel_path") == "pyproject.toml", F.struct(F.lit(0).alias("ord"), toml_name("project").alias("name")))
-        .when(F.col("rel_path") == "package.json", F.struct(F.lit(1).alias("ord"), F.get_json_object("content", "$.name").alias("name")))
-        .when(F.col("rel_path") == "Cargo.toml", F.struct(F.lit(2).alias("ord"), toml_name("package").alias("name")))
+    """(repo, project_name): the name in a manifest at the root, by order of manifests, else the repository's own.
+
+    Manifests are read by parsers; one that is not valid or has no name is passed over.
+    """
+    path = F.col("rel_path")
+    manifests = files.where(path.isin("pyproject.toml", "package.json", "Cargo.toml")).select(
+        "repo", F.when(path == "pyproject.toml", 0).when(path == "package.json", 1).otherwise(2).alias("ord"), F.when(path == "pyproject.toml", "project").otherwise("package").alias("table"), "content"
     )
-    found = files.where(F.col("rel_path").isin("pyproject.toml", "package.json", "Cargo.toml")).select("repo", name.alias("n")).where(F.coalesce("n.name", F.lit("")) != "")
-    best = found.groupBy("repo").agg(F.min("n")["name"].alias("found"))
+    named = F.pandas_udf(_names_in_toml, "string")("content", "table")
+    toml = manifests.where("ord <> 1").select("repo", "ord", named.alias("name"))
+    of_json = F.from_json("content", "struct<name:string>")["name"]
+    found = toml.unionByName(manifests.where("ord = 1").select("repo", "ord", of_json.alias("name"))).where(F.trim(F.coalesce("name", F.lit(""))) != "")
+    best = found.groupBy("repo").agg(F.min_by("name", "ord").alias("found"))
     return files.select("repo").distinct().join(best, "repo", "left").select("repo", F.coalesce("found", "repo").alias("project_name"))
 
 

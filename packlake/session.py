@@ -60,16 +60,22 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a folder of our own only where none is set."""
+    """The shared checkpoint folder the cluster names; a local session that names none gets a folder of its own, which ends with it.
+
+    A cluster without one is an error: a folder of one machine cannot hold what other machines write and read.
+    """
     context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
     named = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY, None)
-    if named:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(named)
-        return named
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(os.path.join(os.environ.get("TMPDIR", "/tmp"), "packlake-checkpoints"))
-    return context._jsc.sc().getCheckpointDir().get()
+    if held.isEmpty():
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all machines share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="packlake-checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+        held = context._jsc.sc().getCheckpointDir()
+    return named or held.get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
