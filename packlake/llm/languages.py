@@ -81,10 +81,12 @@ _DROP = re.compile(
 #: A sign that something of ``_DROP`` may be there.
 _SUSPECT = re.compile(r"[`(<_/\\]|[a-z0-9][A-Z]|[\w-]\.[a-z]|(?<!\w)-[\w-]")
 _LINE = re.compile("[^\n\r\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])|[^\n\r\x0b\x0c\x85\u2028\u2029]+")
-_STOP = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+|(?<=[.!?…])$")
+_STOP = re.compile(r"[.!?…][\"”»')\]]*(?:\s+|$)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_ENDS = re.compile(r"[.!?…]['\"”»)\]]*\s*$")
+_STOPS, _CLOSERS = tuple(".!?…"), "'\"”»)]"
 _CODE = re.compile(r"[{};=<>|\\@$^~]|\w\(|\)\.|\[\w*\]|::|->|&&")
+#: A sign that something of ``_CODE`` may be there.
+_CODE_SIGN = re.compile(r"[{};=<>|\\@$^~(\[):&]")
 _ODD = re.compile(r"[​-‏­﻿️⃠-⃿]|[\U0001F000-\U0001FAFF]|[☀-➿]")
 
 
@@ -108,6 +110,11 @@ def prose_of(line: str) -> str:
     return _DROP.sub(" ", line) if _SUSPECT.search(line) else line
 
 
+def ends(piece: str) -> bool:
+    """Whether a piece ends like a sentence; closing quotes and brackets may follow the stop."""
+    return piece.rstrip().rstrip(_CLOSERS).endswith(_STOPS)
+
+
 def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences of prose in a text; code gives only the sentences in its comments."""
     fenced = False
@@ -124,7 +131,7 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
                 continue
             shift, body, comment = m.start("t"), m["t"], True
         else:
-            if _HEADING.match(line) and not _ENDS.search(line):
+            if _HEADING.match(line) and not ends(line):
                 continue
             shift = _BULLET.match(line).end()
             body = line[shift:]
@@ -138,8 +145,8 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
                 small = clean.lower()
                 words = _WORD.findall(small if small.isascii() else unicodedata.normalize("NFC", small))
                 letters = sum(map(len, words))
-                whole = bool(_ENDS.search(piece))
-                signs = len(_CODE.findall(clean))
+                whole = ends(piece)
+                signs = len(_CODE.findall(clean)) if _CODE_SIGN.search(clean) else 0
                 if (
                     len(words) >= SENTENCE_WORDS
                     and (whole or not comment and len(words) >= 6)
@@ -191,6 +198,12 @@ class Model:
         places = self.places(words)  # may make new rows
         return self._rows[places].sum(axis=0)
 
+    def score_all(self, sentences_of: list[list[str]]) -> np.ndarray:
+        """The scores of sentences, none of them without words; one sum over the words of a text."""
+        places = self.places([word for words in sentences_of for word in words])  # may make new rows
+        begins = np.cumsum([0, *map(len, sentences_of[:-1])])
+        return np.add.reduceat(self._rows[places], begins, axis=0)
+
     def places(self, words: list[str]) -> list[int]:
         """The rows of ``_rows`` that hold the evidence of the words."""
         try:
@@ -286,38 +299,42 @@ def host_priors(counts: DataFrame) -> DataFrame:
 SEGMENTS = "array<struct<start:int,end:int,n_sentences:int,n_sure:int,lang:string,confidence:double>>"
 
 
-def _best(evidence: np.ndarray) -> tuple[int, float]:
-    """The likeliest language and its probability; the first of equals."""
+def _chance(evidence: np.ndarray, lang: str) -> float:
+    """The probability of a language."""
     logs = evidence.tolist()
     top = max(logs)
-    return logs.index(top), 1.0 / sum(exp(x - top) for x in logs)
+    return exp(logs[LANGUAGES.index(lang)] - top) / sum(exp(x - top) for x in logs)
 
 
 def segment(text: str, model: Model, prior: np.ndarray) -> list[dict]:
     """Segments of a text: runs of sentences of one language, with the confidence of their joined evidence."""
+    found = list(sentences(text))
+    if not found:
+        return []
+    scores = model.score_all([words for _, _, words in found])
+    evidence = scores + prior
+    tops = evidence.argmax(axis=1)
+    chances = (1.0 / np.exp(evidence - evidence.max(axis=1, keepdims=True)).sum(axis=1)).tolist()
     out: list[dict] = []
-    scores: list[np.ndarray] = []
-    for start, end, words in sentences(text):
-        score = model.score(words)
-        n, chance = _best(score + prior)
+    joined = prior  # evidence of the last segment, the prior counted once
+    for (start, end, _), score, n, chance in zip(found, scores, tops.tolist(), chances):
         sure = int(chance >= SURE)
         if not sure and out:
-            joined, _ = _best(scores[-1] + score + prior)
-            n = joined if LANGUAGES[joined] == out[-1]["lang"] else n
+            together = int((joined + score).argmax())
+            n = together if LANGUAGES[together] == out[-1]["lang"] else n
         lang = LANGUAGES[n]
         if out and out[-1]["lang"] == lang:
-            out[-1]["end"] = end
-            out[-1]["n_sentences"] += 1
-            out[-1]["n_sure"] += sure
-            scores[-1] = scores[-1] + score
+            last = out[-1]
+            last["end"] = end
+            last["n_sentences"] += 1
+            last["n_sure"] += sure
+            joined = joined + score
         else:
+            if out:
+                out[-1]["confidence"] = _chance(joined, out[-1]["lang"])
             out.append({"start": start, "end": end, "n_sentences": 1, "n_sure": sure, "lang": lang, "confidence": 0.0})
-            scores.append(score)
-    order = {name: n for n, name in enumerate(LANGUAGES)}
-    for piece, score in zip(out, scores):
-        evidence = score + prior
-        top = float(evidence.max())
-        piece["confidence"] = exp(float(evidence[order[piece["lang"]]]) - top) / sum(exp(x - top) for x in evidence.tolist())
+            joined = prior + score
+    out[-1]["confidence"] = _chance(joined, out[-1]["lang"])
     return out
 
 
