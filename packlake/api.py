@@ -138,7 +138,7 @@ class Repository:
             summaries = summaries.where(~paths.is_test(F.col("rel_path")))
         shown = files.where(F.lit(not no_source))
         sized = ranking.join(budget.forms(summaries, shown), ["repo", "rel_path"])
-        chosen = budget.select_within(sized, ["repo"], tokens)
+        chosen = budget.select_within(sized, ["repo"], tokens).persist()  # read for texts, warnings, notes and what is left out
         picked = budget.with_texts(chosen, summaries, shown).orderBy("select_no").collect()
         out = render.Selection(task, tokens)
         out.selected = [r.asDict() for r in picked]
