@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from packlake.dims import WEIGHTS
 from packlake.functions import paths, text
+from packlake.operators import blocks
 from packlake.operators.classify import is_priority, is_secret_file
 from packlake.session import checkpointed
 
@@ -82,6 +83,30 @@ def _score_and_reasons() -> tuple[Column, Column]:
     return score.alias("score"), F.array_compact(F.array(*reasons)).alias("reasons")
 
 
+def file_rows(summaries: DataFrame, churn: DataFrame | None = None, memory_paths: Column | None = None, edges: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """One row a file, without secret names, with what :mod:`packlake.operators.blocks` ranks by: token sets, bonuses, imports of ``edges`` and where tests may be, tokens of ``sizes``."""
+    tokens = [c.alias(f"tokens_{name}") for name, c in signal_tokens().items()]
+    rows = _with_bonuses(summaries, churn, memory_paths).select("repo", "rel_path", "priority", "mentioned", "commits", *tokens)
+    if edges is not None:
+        local = edges.where("kind = 'local'").groupBy("repo", F.col("source").alias("rel_path")).agg(F.collect_list(F.struct("target", "ord")).alias("imports_of"))
+        rows = rows.join(local, ["repo", "rel_path"], "left").withColumn("tests_of", test_candidates(F.col("rel_path")))
+    if sizes is not None:
+        rows = rows.join(sizes, ["repo", "rel_path"], "left")
+    return rows
+
+
+def scored_runs(summaries: DataFrame, tasks: DataFrame, churn: DataFrame | None = None, memory_paths: Column | None = None) -> DataFrame:
+    """(repo, rel_path, score, reasons, task_ids): what :func:`scored` gives of every file for every task with a text, as runs of tasks that score it alike.
+
+    Scores are rounded to 6 places, reasons joined. The rows are tasks times files, so they come out where ``task_ids`` are exploded and nowhere else.
+    """
+    return blocks.over_blocks(file_rows(summaries, churn, memory_paths), _unhidden(summaries), blocks.Tasks(tasks), blocks.RUNS, lambda b: b.runs())
+
+
+def _unhidden(summaries: DataFrame) -> DataFrame:
+    return summaries.where(~is_secret_file(F.col("rel_path")) & F.col("rel_path").isNotNull()).select("repo")
+
+
 def scored_tasks(summaries: DataFrame, tasks: DataFrame, churn: DataFrame | None = None, memory_paths: Column | None = None) -> DataFrame:
     """(task_id, repo, rel_path, score, reasons) of every file for every task with a text: what :func:`scored` gives for each.
 

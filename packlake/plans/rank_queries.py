@@ -147,6 +147,11 @@ SELECT t.task_id, t.repo, total AS repo_total_tokens, coalesce(used, 0)::BIGINT
 # JavaScript and TypeScript (``_scripts``), which SQL can follow, for the comparison with SQL.
 
 
+def _exploded(runs, *names):
+    """Runs of tasks as a row for each."""
+    return runs.select(*names, F.explode("task_ids").alias("task_id"))
+
+
 def _scores(spark, sf_dir):
     return rank.scored_tasks(corpus.summaries(spark, sf_dir), corpus.tasks(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory())
 
@@ -164,7 +169,8 @@ def _selection(spark, sf_dir, edges_of):
 @query(_BASE + f" SELECT task_id, repo, rel_path, {_TOLD} FROM scored")
 def score_signals(spark, sf_dir):
     """The scores of every file for every task."""
-    return _joined(_scores(spark, sf_dir), "task_id")
+    runs = rank.scored_runs(corpus.summaries(spark, sf_dir), corpus.tasks(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory())
+    return _exploded(runs, "repo", "rel_path", "score", "reasons")
 
 
 def _dep_expand(spark, sf_dir, edges_of):
