@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from packlake import dims
 from packlake.functions import paths, text
 from packlake.functions.redaction import PATTERNS, redact, redaction_counts
-from packlake.operators import classify
+from packlake.operators import blocks, classify
 from packlake.operators.symbols import symbol_weight
 from packlake.plans import corpus, sql
 from packlake.session import spread, table
@@ -119,14 +119,13 @@ def identifier_parts(spark, sf_dir):
 SELECT task_id, repo, rel_path, round(sum(CASE lower(trim(kind)) WHEN 'function' THEN 2.0 WHEN 'method' THEN 1.5 WHEN 'class' THEN 1.0 ELSE 1.0 END * len(list_intersect({_PARTS}, k.kw))), 6) AS score
 FROM (SELECT DISTINCT file_id, repo, rel_path, name, kind, start_line, end_line, parent FROM symbols) s, k GROUP BY task_id, repo, rel_path""")
 def symbol_score(spark, sf_dir):
-    """The symbols of every file against every task: parts of names and keywords meet in an equi-join; files without a hit score 0."""
-    rows, tasks = table(spark, sf_dir, "symbols").distinct(), corpus.tasks(spark, sf_dir)
-    words = tasks.select("task_id", F.explode(text.keywords(F.col("task"))).alias("part"))
-    parts = rows.where(F.col("name").isNotNull()).select("repo", "rel_path", symbol_weight(F.col("kind")).alias("weight"), F.explode(text.identifier_parts(F.col("name"))).alias("part"))
-    hits = parts.join(words, "part").groupBy("task_id", "repo", "rel_path").agg(F.sum("weight").alias("score"))
-    named = rows.groupBy("repo", "rel_path").agg(F.max(F.col("name").isNotNull()).alias("named"))
-    found = named.crossJoin(tasks.select("task_id")).join(hits, ["task_id", "repo", "rel_path"], "left")
-    return found.select("task_id", "repo", "rel_path", F.when(F.col("named"), F.round(F.coalesce("score", F.lit(0.0)), 6)).alias("score"))
+    """The symbols of every file against every task; files without a hit score 0. One row a file is moved, and scores leave as runs of tasks."""
+    rows = table(spark, sf_dir, "symbols").repartition("repo", "rel_path").distinct()  # repeated rows lie in one file, so this shuffle serves the files too
+    parts = F.transform(text.identifier_parts(F.col("name")), lambda p: F.struct(p.alias("part"), symbol_weight(F.col("kind")).alias("weight")))
+    files = rows.groupBy("repo", "rel_path").agg(F.max(F.col("name").isNotNull()).alias("named"), F.flatten(F.collect_list(parts)).alias("parts"))
+    files = files.select("repo", "rel_path", "named", F.col("parts.part").alias("parts"), F.col("parts.weight").alias("weights"))
+    runs = blocks.symbol_runs(files, blocks.Tasks(corpus.tasks(spark, sf_dir)))
+    return runs.select("repo", "rel_path", F.round("score", 6).alias("score"), F.explode("task_ids").alias("task_id"))
 
 
 @query("""SELECT repo, rel_path, unnest(list_sort(list_distinct(list_concat(regexp_extract_all(content, '`([^`]+\\.[a-zA-Z]{1,10})`', 1), regexp_extract_all(content, '"([^"]+\\.[a-zA-Z]{1,10})"', 1))))) AS path
