@@ -29,6 +29,7 @@ BITS = 62
 ABREAST = 256
 NONE = 2**31 - 1
 KINDS = ("full", "snippet", "summary")
+CELLS_OF = "task_id bigint, repo string, rel_path string, score double, reasons string"
 RUNS = "repo string, rel_path string, score double, reasons string, task_ids array<bigint>"
 
 
@@ -295,6 +296,51 @@ class Block:
         return t, f, kind, tokens, np.arange(len(t)) - np.searchsorted(t, t) + 1
 
 
+def expanded(block: Block) -> Iterator[pa.RecordBatch]:
+    """Every file with its boosts along imports, as runs of tasks."""
+    yield from block.expand().runs()
+
+
+def paired(block: Block) -> Iterator[pa.RecordBatch]:
+    """The files that are boosted as tests."""
+    yield from block.expand().pair().cells(*block.paired)
+
+
+def top(n: int) -> Callable[[Block], Iterator[pa.RecordBatch]]:
+    """The first ``n`` files of each task, with their ``rank``."""
+
+    def work(block: Block) -> Iterator[pa.RecordBatch]:
+        files = block.expand().pair().order()[:, :n]
+        ranks = np.tile(np.arange(1, files.shape[1] + 1, dtype=np.int32), len(files))
+        yield from block.cells(np.repeat(np.arange(len(files)), files.shape[1]), files.ravel(), rank=pa.array(ranks))
+
+    return work
+
+
+def selected(block: Block) -> Iterator[pa.RecordBatch]:
+    """What each task shows within its budget: ``kind``, ``tokens``, ``select_no``."""
+    t, f, kind, tokens, number = block.expand().pair().select()
+    yield from block.cells(t, f, kind=pa.array(KINDS).take(pa.array(kind)), tokens=pa.array(tokens, pa.int32()), select_no=pa.array(number, pa.int32()))
+
+
+def left(block: Block) -> Iterator[pa.RecordBatch]:
+    """What each task has no room for, as runs of tasks."""
+    t, f, *_ = block.expand().pair().select()
+    over = np.ones(block.score.shape, bool)
+    over[t, f] = False
+    f, t = np.nonzero(over.T)
+    if len(f):
+        starts = np.flatnonzero(np.r_[True, np.diff(f) != 0])
+        yield pa.RecordBatch.from_pydict({"repo": block._repo(len(starts)), "rel_path": block.files.paths.take(pa.array(f[starts])), "task_ids": block._ids(t, starts)})
+
+
+def used(block: Block) -> Iterator[pa.RecordBatch]:
+    """Tokens that each task takes of its budget: one row with a list of tasks and one of tokens."""
+    t, _, _, tokens, _ = block.expand().pair().select()
+    sums = np.bincount(t, tokens, len(block.ids)).astype(np.int64)
+    yield pa.RecordBatch.from_pydict({"repo": block._repo(1), "task_ids": pa.array([block.ids], pa.list_(pa.int64())), "used": pa.array([sums], pa.list_(pa.int64()))})
+
+
 def over_blocks(files: DataFrame, parts_of: DataFrame, tasks: Tasks, schema: str, work: Callable[[Block], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``work`` over all blocks of ``files`` (one row a file: see :func:`packlake.operators.rank.file_rows`); repositories are sized by the few columns of ``parts_of``."""
     workers = max(files.sparkSession.sparkContext.defaultParallelism, 2)

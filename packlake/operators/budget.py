@@ -48,18 +48,13 @@ def wrapped(path: Column, content: Column, note: Column | None = None) -> Column
 def forms(summaries: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, rel_path, full_tok, snip_tok, sum_tok): tokens of each form, redacted before counting; null where a form is not there.
 
-    Texts stay behind: ranking and selection carry three numbers a file, and only what is selected is joined to its text again.
+    Texts stay behind, and are counted before anything moves: ranking and selection carry three numbers a file, and only what is selected is joined to its text again.
     """
-    contents = files.select("repo", "rel_path", redact(F.col("content")).alias("shown")).dropDuplicates(["repo", "rel_path"])
-    rows = summaries.dropDuplicates(["repo", "rel_path"])
-    joined = rows.join(contents, ["repo", "rel_path"], "left")
-    return joined.select(
-        "repo",
-        "rel_path",
-        text.token_count(F.col("shown")).alias("full_tok"),
-        text.token_count(text.head_lines(F.col("shown"), dims.SNIPPET_LINES)).alias("snip_tok"),
-        text.token_count(summary_text()).alias("sum_tok"),
-    )
+    shown = files.select("repo", "rel_path", redact(F.col("content")).alias("shown"))
+    counted = shown.select("repo", "rel_path", text.token_count(F.col("shown")).alias("full_tok"), text.token_count(text.head_lines(F.col("shown"), dims.SNIPPET_LINES)).alias("snip_tok"))
+    rows = summaries.select("repo", "rel_path", text.token_count(summary_text()).alias("sum_tok"))
+    joined = rows.dropDuplicates(["repo", "rel_path"]).join(counted.dropDuplicates(["repo", "rel_path"]), ["repo", "rel_path"], "left")
+    return joined.select("repo", "rel_path", "full_tok", "snip_tok", "sum_tok")
 
 
 def fold(rows: list[tuple], remaining: int) -> tuple[list[tuple[int, str]], int]:
@@ -152,16 +147,14 @@ def with_texts(selected: DataFrame, summaries: DataFrame, files: DataFrame) -> D
     return joined.withColumn("content", content).drop("shown", "told")
 
 
-def excluded(summaries: DataFrame, ranking: DataFrame, selected: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
-    """(repo, rel_path, cause, note): files with secret names, then ranked ones that found no room; for each task where the ranking has a ``task_id``."""
+def excluded(summaries: DataFrame, left: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(task_id, repo, rel_path, cause, note): for each task the files with secret names, then ranked ones that found no room (``left``: repo, rel_path, task_ids)."""
     from packlake.operators.classify import exclusion_label, is_secret_file
 
-    keys = [c for c in ("task_id", "repo", "rel_path") if c in ranking.columns]
-    secret = summaries.where(is_secret_file(F.col("rel_path"))).select("repo", "rel_path").distinct().withColumn("cause", F.lit("secret"))
-    if tasks is not None:
-        secret = secret.crossJoin(tasks.select("task_id").distinct()).select(*keys, "cause")
-    over = ranking.select(*keys).join(selected.select(*keys), keys, "left_anti").withColumn("cause", F.lit("budget"))
-    return secret.unionByName(over).withColumn("note", exclusion_label(F.col("rel_path")))
+    keys = ["task_id", "repo", "rel_path", "cause", "note"]
+    secret = summaries.where(is_secret_file(F.col("rel_path"))).select("repo", "rel_path").distinct().withColumns({"cause": F.lit("secret"), "note": exclusion_label(F.col("rel_path"))})
+    over = left.select("repo", "rel_path", F.lit("budget").alias("cause"), exclusion_label(F.col("rel_path")).alias("note"), F.explode("task_ids").alias("task_id"))
+    return secret.crossJoin(tasks.select("task_id").distinct()).select(*keys).unionByName(over.select(*keys))
 
 
 def savings(summaries: DataFrame, selected: DataFrame, tasks: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ Scores that carry a ``task_id`` are ranked for each task and repository.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,10 +105,6 @@ def scored_runs(summaries: DataFrame, tasks: DataFrame, churn: DataFrame | None
     return blocks.over_blocks(file_rows(summaries, churn, memory_paths), _unhidden(summaries), blocks.Tasks(tasks), blocks.RUNS, lambda b: b.runs())
 
 
-def _unhidden(summaries: DataFrame) -> DataFrame:
-    return summaries.where(~is_secret_file(F.col("rel_path")) & F.col("rel_path").isNotNull()).select("repo")
-
-
 def scored_tasks(summaries: DataFrame, tasks: DataFrame, churn: DataFrame | None = None, memory_paths: Column | None = None) -> DataFrame:
     """(task_id, repo, rel_path, score, reasons) of every file for every task with a text: what :func:`scored` gives for each.
 
@@ -119,6 +117,15 @@ def scored_tasks(summaries: DataFrame, tasks: DataFrame, churn: DataFrame | None
     return every.join(hits, ["task_id", "repo", "rel_path"], "left").select("task_id", "repo", "rel_path", *_score_and_reasons())
 
 
+def over_tasks(summaries: DataFrame, edges: DataFrame, tasks: DataFrame, churn: DataFrame | None, memory_paths: Column | None, schema: str, work: Callable, sizes: DataFrame | None = None) -> DataFrame:
+    """``work`` over the blocks of a ranking along ``edges`` (:class:`packlake.operators.blocks.Block`): the steps of :func:`rank_files` for every task with a text."""
+    return blocks.over_blocks(file_rows(summaries, churn, memory_paths, edges, sizes), _unhidden(summaries), blocks.Tasks(tasks), schema, work)
+
+
+def _unhidden(summaries: DataFrame) -> DataFrame:
+    return summaries.where(~is_secret_file(F.col("rel_path")) & F.col("rel_path").isNotNull()).select("repo")
+
+
 def _leaders(scores: DataFrame) -> DataFrame:
     """Rows with a positive score of at least a share of their repository's best, for their task."""
     best = scores.groupBy(*_group(scores)).agg(F.max("score").alias("best"))

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from packlake import dims
-from packlake.operators import budget, classify, graph, rank
+from packlake.operators import blocks, budget, classify, graph, rank
 from packlake.operators.churn import churn_score, churn_top
 from packlake.functions import paths, text
 from packlake.plans import corpus, sql
@@ -166,6 +166,13 @@ def _selection(spark, sf_dir, edges_of):
     return summaries, ranking, budget.select_within(sized, ["task_id", "repo"], F.col("budget")), tasks
 
 
+def _over_tasks(spark, sf_dir, edges_of, schema, work, sized=False):
+    """``work`` over the whole ranking; with the tokens of each form where it selects."""
+    summaries = corpus.summaries(spark, sf_dir)
+    sizes = budget.forms(summaries, corpus.files(spark, sf_dir)) if sized else None
+    return rank.over_tasks(summaries, edges_of(spark, sf_dir), corpus.tasks(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory(), schema, work, sizes)
+
+
 @query(_BASE + f" SELECT task_id, repo, rel_path, {_TOLD} FROM scored")
 def score_signals(spark, sf_dir):
     """The scores of every file for every task."""
@@ -191,7 +198,8 @@ def _budget_select(spark, sf_dir, edges_of):
 
 
 def _budget_excluded(spark, sf_dir, edges_of):
-    return budget.excluded(*_selection(spark, sf_dir, edges_of))
+    left = _over_tasks(spark, sf_dir, edges_of, "repo string, rel_path string, task_ids array<bigint>", blocks.left, sized=True)
+    return budget.excluded(corpus.summaries(spark, sf_dir), left, corpus.tasks(spark, sf_dir))
 
 
 def _savings(spark, sf_dir, edges_of):
