@@ -194,7 +194,7 @@ def _rank_topk(spark, sf_dir, edges_of):
 
 def _budget_select(spark, sf_dir, edges_of):
     """The flagship: for every task, the files each repository shows within the task's budget."""
-    return _joined(_selection(spark, sf_dir, edges_of)[2], "kind", "tokens", "select_no", "task_id")
+    return _over_tasks(spark, sf_dir, edges_of, f"{blocks.CELLS_OF}, kind string, tokens int, select_no int", blocks.selected, sized=True)
 
 
 def _budget_excluded(spark, sf_dir, edges_of):
