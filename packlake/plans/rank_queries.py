@@ -189,7 +189,7 @@ def _test_pairs(spark, sf_dir, edges_of):
 
 
 def _rank_topk(spark, sf_dir, edges_of):
-    return _joined(rank.top_files(_ranking(spark, sf_dir, edges_of), 20), "rank", "task_id")
+    return _over_tasks(spark, sf_dir, edges_of, f"{blocks.CELLS_OF}, rank int", blocks.top(20))
 
 
 def _budget_select(spark, sf_dir, edges_of):
