@@ -157,14 +157,18 @@ def excluded(summaries: DataFrame, left: DataFrame, tasks: DataFrame) -> DataFra
     return secret.crossJoin(tasks.select("task_id").distinct()).select(*keys).unionByName(over.select(*keys))
 
 
-def savings(summaries: DataFrame, selected: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
-    """(repo, repo_total_tokens, used_tokens, saved_tokens, saved_pct) per repository, and task where given; totals count every file, secret ones too."""
-    keys = ["repo"] if tasks is None else ["task_id", "repo"]
-    total = summaries.dropDuplicates(["repo", "rel_path"]).groupBy("repo").agg(F.sum(F.coalesce("line_count", F.lit(0)).cast("bigint") * 15).alias("repo_total_tokens"))
-    if tasks is not None:
-        total = total.crossJoin(tasks.select("task_id").distinct())
-    used = selected.groupBy(*keys).agg(F.sum(F.col("tokens").cast("bigint")).alias("used_tokens"))
-    joined = total.join(used, keys, "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0).cast("bigint")))
+def savings(summaries: DataFrame, used: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(task_id, repo, repo_total_tokens, used_tokens, saved_tokens, saved_pct) per repository and task; totals count every file, secret ones too.
+
+    ``used`` (repo, task_ids, used) has tokens used by runs of tasks, which stay runs until the totals are joined.
+    """
+    from packlake.operators.classify import is_secret_file
+
+    ranked = F.max(F.col("repo").isNotNull() & F.col("rel_path").isNotNull() & ~is_secret_file(F.col("rel_path"))).alias("ranked")
+    total = summaries.dropDuplicates(["repo", "rel_path"]).groupBy("repo").agg(F.sum(F.coalesce("line_count", F.lit(0)).cast("bigint") * 15).alias("repo_total_tokens"), ranked)
+    some = total.join(used, "repo").select("repo", "repo_total_tokens", F.explode(F.arrays_zip("task_ids", "used")).alias("u")).select("repo", "repo_total_tokens", "u.task_ids", "u.used")
+    none = total.where(~F.coalesce("ranked", F.lit(False))).select("repo", "repo_total_tokens").crossJoin(tasks.select("task_id").distinct())  # nothing but secrets
+    rows = some.withColumnsRenamed({"task_ids": "task_id", "used": "used_tokens"}).unionByName(none.withColumn("used_tokens", F.lit(0).cast("bigint")))
     saved = F.greatest(F.lit(0).cast("bigint"), F.col("repo_total_tokens") - F.col("used_tokens"))
     pct = F.when(F.col("repo_total_tokens") > 0, (saved / F.col("repo_total_tokens") * 100).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return joined.select(*keys, "repo_total_tokens", "used_tokens", saved.alias("saved_tokens"), pct.alias("saved_pct"))
+    return rows.select("task_id", "repo", "repo_total_tokens", "used_tokens", saved.alias("saved_tokens"), pct.alias("saved_pct"))

@@ -203,8 +203,8 @@ def _budget_excluded(spark, sf_dir, edges_of):
 
 
 def _savings(spark, sf_dir, edges_of):
-    summaries, _, selected, tasks = _selection(spark, sf_dir, edges_of)
-    return budget.savings(summaries, selected, tasks)
+    used = _over_tasks(spark, sf_dir, edges_of, "repo string, task_ids array<bigint>, used array<bigint>", blocks.used, sized=True)
+    return budget.savings(corpus.summaries(spark, sf_dir), used, corpus.tasks(spark, sf_dir))
 
 
 def _both(name, run, oracle):
