@@ -181,7 +181,7 @@ def score_signals(spark, sf_dir):
 
 
 def _dep_expand(spark, sf_dir, edges_of):
-    return _joined(rank.expand_dependencies(checkpointed(_scores(spark, sf_dir)), edges_of(spark, sf_dir)), "task_id")
+    return _exploded(_over_tasks(spark, sf_dir, edges_of, blocks.RUNS, blocks.expanded), "repo", "rel_path", "score", "reasons")
 
 
 def _test_pairs(spark, sf_dir, edges_of):
