@@ -105,18 +105,6 @@ def scored_runs(summaries: DataFrame, tasks: DataFrame, churn: DataFrame | None
     return blocks.over_blocks(file_rows(summaries, churn, memory_paths), _unhidden(summaries), blocks.Tasks(tasks), blocks.RUNS, lambda b: b.runs())
 
 
-def scored_tasks(summaries: DataFrame, tasks: DataFrame, churn: DataFrame | None = None, memory_paths: Column | None = None) -> DataFrame:
-    """(task_id, repo, rel_path, score, reasons) of every file for every task with a text: what :func:`scored` gives for each.
-
-    Hits come from the inverted index. Files without one are ranked too, so the rows are tasks times files; nothing but paths and bonuses is in the product.
-    """
-    bonuses = _with_bonuses(summaries, churn, memory_paths).select("repo", "rel_path", "priority", "mentioned", "commits")
-    bonuses = bonuses.repartition(2 * max(summaries.sparkSession.sparkContext.defaultParallelism, 2))  # few rows become many here, on all cores
-    every = bonuses.crossJoin(tasks.where(F.col("task").isNotNull()).select("task_id").distinct())
-    hits = _hits_of_tasks(summaries, tasks)
-    return every.join(hits, ["task_id", "repo", "rel_path"], "left").select("task_id", "repo", "rel_path", *_score_and_reasons())
-
-
 def over_tasks(summaries: DataFrame, edges: DataFrame, tasks: DataFrame, churn: DataFrame | None, memory_paths: Column | None, schema: str, work: Callable, sizes: DataFrame | None = None) -> DataFrame:
     """``work`` over the blocks of a ranking along ``edges`` (:class:`packlake.operators.blocks.Block`): the steps of :func:`rank_files` for every task with a text."""
     return blocks.over_blocks(file_rows(summaries, churn, memory_paths, edges, sizes), _unhidden(summaries), blocks.Tasks(tasks), schema, work)
@@ -193,11 +181,6 @@ def rank_files(summaries: DataFrame, edges: DataFrame, keywords: Column, churn:
     return _boosts(scored(summaries, keywords, churn, memory_paths), edges, min_score)
 
 
-def rank_tasks(summaries: DataFrame, edges: DataFrame, tasks: DataFrame, churn: DataFrame | None = None, memory_paths: Column | None = None, min_score: float = 0.0) -> DataFrame:
-    """The whole ranking of each repository for every task: what :func:`rank_files` gives for each, with its ``task_id``."""
-    return _boosts(scored_tasks(summaries, tasks, churn, memory_paths), edges, min_score)
-
-
 def _boosts(scores: DataFrame, edges: DataFrame, min_score: float) -> DataFrame:
     return ranked(pair_tests(checkpointed(expand_dependencies(checkpointed(scores), edges))), min_score)
 

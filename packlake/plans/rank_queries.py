@@ -11,7 +11,7 @@ from packlake.operators import blocks, budget, classify, graph, rank
 from packlake.operators.churn import churn_score, churn_top
 from packlake.functions import paths, text
 from packlake.plans import corpus, sql
-from packlake.session import checkpointed, table
+from packlake.session import table
 
 QUERIES, ORACLES = {}, {}
 #: Paths that the corpus queries take as mentioned in the project's notes.
@@ -152,20 +152,6 @@ def _exploded(runs, *names):
     return runs.select(*names, F.explode("task_ids").alias("task_id"))
 
 
-def _scores(spark, sf_dir):
-    return rank.scored_tasks(corpus.summaries(spark, sf_dir), corpus.tasks(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory())
-
-
-def _ranking(spark, sf_dir, edges_of):
-    return rank.rank_tasks(corpus.summaries(spark, sf_dir), edges_of(spark, sf_dir), corpus.tasks(spark, sf_dir), corpus.churn_counts(spark, sf_dir), _memory())
-
-
-def _selection(spark, sf_dir, edges_of):
-    summaries, tasks, ranking = corpus.summaries(spark, sf_dir), corpus.tasks(spark, sf_dir), checkpointed(_ranking(spark, sf_dir, edges_of))
-    sized = ranking.join(budget.forms(summaries, corpus.files(spark, sf_dir)), ["repo", "rel_path"]).join(F.broadcast(tasks.select("task_id", "budget")), "task_id")
-    return summaries, ranking, budget.select_within(sized, ["task_id", "repo"], F.col("budget")), tasks
-
-
 def _over_tasks(spark, sf_dir, edges_of, schema, work, sized=False):
     """``work`` over the whole ranking; with the tokens of each form where it selects."""
     summaries = corpus.summaries(spark, sf_dir)
@@ -185,7 +171,7 @@ def _dep_expand(spark, sf_dir, edges_of):
 
 
 def _test_pairs(spark, sf_dir, edges_of):
-    return _joined(_ranking(spark, sf_dir, edges_of).where(F.exists("reasons", lambda r: r.startswith("test_pair:"))), "task_id")
+    return _over_tasks(spark, sf_dir, edges_of, blocks.CELLS_OF, blocks.paired)
 
 
 def _rank_topk(spark, sf_dir, edges_of):
