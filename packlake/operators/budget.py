@@ -153,7 +153,9 @@ def excluded(summaries: DataFrame, left: DataFrame, tasks: DataFrame) -> DataFra
 
     keys = ["task_id", "repo", "rel_path", "cause", "note"]
     secret = summaries.where(is_secret_file(F.col("rel_path"))).select("repo", "rel_path").distinct().withColumns({"cause": F.lit("secret"), "note": exclusion_label(F.col("rel_path"))})
-    over = left.select("repo", "rel_path", F.lit("budget").alias("cause"), exclusion_label(F.col("rel_path")).alias("note"), F.explode("task_ids").alias("task_id"))
+    # a select of its own: beside the explode, Spark would work the label out again for every task
+    labelled = left.withColumns({"cause": F.lit("budget"), "note": exclusion_label(F.col("rel_path"))})
+    over = labelled.select("repo", "rel_path", "cause", "note", F.explode("task_ids").alias("task_id"))
     return secret.crossJoin(tasks.select("task_id").distinct()).select(*keys).unionByName(over.select(*keys))
 
 
